@@ -28,12 +28,17 @@ BITS, ORDERS, TILE = 13, (1, 2, 3, 4), 128
 GRAMS = 1 << BITS
 
 
+def cells(n: int, code: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The presence column of each n-gram, and where each row's n-grams begin."""
+    code = code.astype(np.uint32) * np.uint32(2654435761) + np.uint32((n * 0x61C88647) & 0xFFFFFFFF)
+    return ((code ^ (code >> np.uint32(15))) * np.uint32(2246822519)) >> np.uint32(32 - BITS), first
+
+
 def presence(column: pa.Array):
     """(rows x GRAMS) 0/1 matrices of at most TILE texts each, every row scaled to length 1."""
     for _, _, data, offs in tx.chunks(column):
         data = tx.lower(data)
-        found = [tx.grams(data, offs, n) for n in ORDERS]
-        found = [(((code * np.uint32(2654435761) + np.uint32(n * 0x61C88647)) ^ (code >> np.uint32(15))) * np.uint32(2246822519) >> np.uint32(32 - BITS), first) for n, (code, first) in zip(ORDERS, ((c.astype(np.uint32), f) for c, f in found), strict=True)]
+        found = [cells(n, *tx.grams(data, offs, n)) for n in ORDERS]
         for lo in range(0, len(offs) - 1, TILE):
             hi = min(lo + TILE, len(offs) - 1)
             seen = np.zeros((hi - lo, GRAMS), np.float32)
@@ -71,8 +76,8 @@ def train(docs: DataFrame, learnable, lang: str = "lang", per_lang: int = 800, l
     # Shares leave a margin above per_lang so that every language fills its quota; the surplus goes below.
     shares = F.create_map(*(x for r in sizes for x in (F.lit(r["lang"]), F.lit(int(min(1.0, 1.25 * per_lang / r["count"]) * (1 << 20))))))
     drawn = known.where(F.pmod("draw", F.lit(1 << 20)) < F.coalesce(shares[F.col("lang")], F.lit(0)))
-    cells = map_text(drawn, ["draw", "lang"], "text", [("x", "binary")], lambda c: [pa.array([np.packbits(r > 0).tobytes() for x in presence(c) for r in x], pa.binary())])
-    rows = cells.dropDuplicates(["draw"]).toArrow().sort_by([("lang", "ascending"), ("draw", "ascending")])
+    kernels = map_text(drawn, ["draw", "lang"], "text", [("x", "binary")], lambda c: [pa.array([np.packbits(r > 0).tobytes() for x in presence(c) for r in x], pa.binary())])
+    rows = kernels.dropDuplicates(["draw"]).toArrow().sort_by([("lang", "ascending"), ("draw", "ascending")])
     tags, raw = np.array(rows.column("lang").to_pylist()), rows.column("x").to_pylist()
     langs = [r["lang"] for r in sizes]
     keep = np.concatenate([np.flatnonzero(tags == name)[:per_lang] for name in langs])
