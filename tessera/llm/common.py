@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,3 +71,27 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int, learnab
     spark = docs.sparkSession
     small = spark.createDataFrame(ids) if ids.num_rows else spark.createDataFrame([], drawn.schema)
     return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(small), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+
+
+def sum_blocks(parts: DataFrame) -> dict[int, np.ndarray]:
+    """Sums, by block number, of the 64-bit integer arrays that tasks have emitted as (block int, sums binary).
+
+    Blocks are dealt over the executors and added up as they stream in; the driver gets their sums only,
+    so what it holds is set by the number of blocks, not by the number of tasks.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                part = np.frombuffer(raw.as_buffer(), np.int64)
+                sums[k] = sums[k] + part if k in sums else part
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["block", "sums"])
+
+    rows = parts.repartition(F.col("block")).mapInArrow(add, "block int, sums binary").toArrow()
+    out: dict[int, np.ndarray] = {}
+    for k, raw in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+        part = np.frombuffer(raw, np.int64)
+        out[k] = out[k] + part if k in out else part
+    return out

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import text as tx
-from tessera.llm.common import fold, labelled, map_text
+from tessera.llm.common import fold, labelled, map_text, sum_blocks
 from tessera.llm.learn import Network
 
 BUCKET_BITS, DIMS, NONZERO, WINDOW, BLOCK = 14, 32, 2, 2, 64
@@ -83,20 +83,9 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
         some = np.flatnonzero(blocks.any(1))
         return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([blocks[i].tobytes() for i in some], pa.binary())], names=["block", "sums"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                part = np.frombuffer(raw.as_buffer(), np.int64)
-                sums[k] = sums[k] + part if k in sums else part
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["block", "sums"])
-
-    schema = "block int, sums binary"
-    rows = docs.select(F.col(text).cast("string")).mapInArrow(count, schema).repartition(F.col("block")).mapInArrow(add, schema).toArrow()
     out = np.zeros((BUCKETS // BLOCK, BLOCK * DIMS))
-    for k, raw in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-        out[k] += np.frombuffer(raw, np.int64)
+    for k, sums in sum_blocks(docs.select(F.col(text).cast("string")).mapInArrow(count, "block int, sums binary")).items():
+        out[k] = sums
     out = out.reshape(BUCKETS, DIMS)
     out = np.sign(out) * np.log1p(np.abs(out))
     return (out / (np.linalg.norm(out, axis=1, keepdims=True) + 1e-9)).astype(np.float32)
