@@ -18,14 +18,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """The frame written to the shared checkpoint folder and cut from its lineage, so later steps neither repeat it nor depend on one executor.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; only where that is unset (tests, a single machine) a temporary folder, kept for the session."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests, a single machine) a temporary folder is used.
-    """
+
+def settle(df: DataFrame) -> DataFrame:
+    """The frame written to the shared checkpoint folder and cut from its lineage, so later steps neither repeat it nor depend on one executor."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -73,18 +79,20 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int, learnab
     return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(small), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
-def sum_blocks(parts: DataFrame) -> dict[int, np.ndarray]:
-    """Sums, by block number, of the 64-bit integer arrays that tasks have emitted as (block int, sums binary).
+def sum_blocks(parts: DataFrame, kind: type = np.int64) -> dict[int, np.ndarray]:
+    """Sums, by block number, of the arrays of the given kind that tasks have emitted as (block int, sums binary).
 
     Blocks are dealt over the executors and added up as they stream in; the driver gets their sums only,
     so what it holds is set by the number of blocks, not by the number of tasks.
     """
 
+    wide = np.int64 if kind is np.int64 else np.float64
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for k, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                part = np.frombuffer(raw.as_buffer(), np.int64)
+                part = np.frombuffer(raw.as_buffer(), kind).astype(wide)
                 sums[k] = sums[k] + part if k in sums else part
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["block", "sums"])
@@ -92,6 +100,6 @@ def sum_blocks(parts: DataFrame) -> dict[int, np.ndarray]:
     rows = parts.repartition(F.col("block")).mapInArrow(add, "block int, sums binary").toArrow()
     out: dict[int, np.ndarray] = {}
     for k, raw in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-        part = np.frombuffer(raw, np.int64)
+        part = np.frombuffer(raw, wide)
         out[k] = out[k] + part if k in out else part
     return out

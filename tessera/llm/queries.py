@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, language_id, mixing, packing, quality_classifier, quality_rules, simhash, url_filter
+from tessera.llm import chat, embedding_dedup, language_id, lm_scoring, mixing, packing, quality_classifier, quality_rules, simhash, url_filter
 from tessera.llm.common import fold, read
 
 
@@ -26,6 +26,12 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"), RULES, ["page_id"])
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", fold("doc_id", 5, 1).alias("held_out"))
+    counts, vocabulary, weights = lm_scoring.fit(docs.where(~F.col("held_out")))
+    return lm_scoring.score(docs, counts, vocabulary, weights, ["doc_id", "held_out"])
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -44,6 +50,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, model, ["doc_id"])
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -69,7 +79,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_url_filter, op4_simhash, op5_language_id, op6_quality_rules, op8_mixing, op9_packing, op10_chat)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_url_filter, op3_lm_scoring, op4_simhash, op5_language_id, op6_quality_rules, op7_embedding_dedup, op8_mixing, op9_packing, op10_chat)}
 
 ORACLES: dict[str, str] = {
     "op10_chat": r"""

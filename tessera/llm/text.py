@@ -132,5 +132,11 @@ def grams(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
 
 def row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of consecutive runs given by their borders; an empty run sums to zero."""
-    total = np.concatenate([np.zeros(1, np.result_type(values, np.float64 if values.dtype.kind == "f" else np.int64)), np.cumsum(values, dtype=np.float64 if values.dtype.kind == "f" else np.int64)])
-    return total[first[1:]] - total[first[:-1]]
+    if values.dtype.kind != "f":
+        total = np.concatenate([np.zeros(1, np.int64), np.cumsum(values, dtype=np.int64)])
+        return total[first[1:]] - total[first[:-1]]
+    out = np.zeros(len(first) - 1)
+    some = np.flatnonzero(first[1:] > first[:-1])
+    if len(some):
+        out[some] = np.add.reduceat(values[: first[-1]].astype(np.float64), first[some])
+    return out
