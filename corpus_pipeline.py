@@ -46,7 +46,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in the proportions 1, 2, 3, repeating; documents are repeated or cut as their source's quota asks."""
-    out = mixing.apply_mix(mixing.mix(docs, docs.columns))
+    out = mixing.apply_mix(mixing.mix(docs, docs.columns, prefix="__mix_"), prefix="__mix_")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*(f"`{c}`" for c in docs.columns))

@@ -60,6 +60,9 @@ class Network:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, hidden: int, epochs: int, seed: int, l2: float = 1e-3):
         rng = np.random.default_rng(seed)
+        if not len(x):
+            self.constant = 0.5
+            return
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
         x = np.clip((x - self.mean) / self.scale, -8, 8)
         d = x.shape[1]

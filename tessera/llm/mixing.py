@@ -58,9 +58,9 @@ def apportion(shares: DataFrame, block: int) -> DataFrame:
     return same.select("a.source", "source_size", "rows", "a.target", (F.when(F.col("a.target") > 0, F.col("sure")).otherwise(0) + F.coalesce("won", F.lit(0))).alias("seats"))
 
 
-def mix(df: DataFrame, keep: list[str], doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block: int = 16, shard_rows: int = 256, seed: int = 1) -> DataFrame:
-    """df's columns `keep` and OUTPUTS: taken = passes * size + (to1 - from1) + (to2 - from2), the latter being word ranges of the document."""
-    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in keep if c not in OUTPUTS), F.lit(0).alias("__none")).alias("row"), F.col(source).cast("string").alias("source"), F.col(doc_id).alias("id"), F.xxhash64(F.lit(seed), F.col(doc_id)).alias("draw"), word_count(F.col(text)).alias("size"))
+def mix(df: DataFrame, keep: list[str], doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block: int = 16, shard_rows: int = 256, seed: int = 1, prefix: str = "") -> DataFrame:
+    """df's columns `keep` and OUTPUTS, their names led by the prefix: taken = passes * size + (to1 - from1) + (to2 - from2), the latter being word ranges of the document."""
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in keep if c not in [prefix + n for n in OUTPUTS]), F.lit(0).alias("__none")).alias("row"), F.col(source).cast("string").alias("source"), F.col(doc_id).alias("id"), F.xxhash64(F.lit(seed), F.col(doc_id)).alias("draw"), word_count(F.col(text)).alias("size"))
     rows = settle(rows)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     quotas = settle(apportion(targets(sizes, weights, most), block))
@@ -80,20 +80,22 @@ def mix(df: DataFrame, keep: list[str], doc_id: str = "doc_id", source: str = "s
     inside = lambda x: F.least(F.greatest(x - F.col("begin"), F.lit(0)), F.col("size")).cast("bigint")
     out = line.withColumns({"from1": inside(F.col("first")), "to1": inside(F.when(F.col("rest") > 0, end).otherwise(F.col("first"))), "from2": F.lit(0).cast("bigint"), "to2": inside(wrap)})
     taken = F.col("passes") * F.col("size") + F.col("to1") - F.col("from1") + F.col("to2")
-    return out.select("row.*", "size", "source_size", F.col("target").cast("double").alias("target"), taken.cast("bigint").alias("taken"), F.col("passes").cast("bigint").alias("passes"), "from1", "to1", "from2", "to2").drop("__none")
+    out = out.withColumns({"target": F.col("target").cast("double"), "taken": taken.cast("bigint"), "passes": F.col("passes").cast("bigint")})
+    return out.select("row.*", *(F.col(n).alias(prefix + n) for n in OUTPUTS)).drop("__none")
 
 
-def apply_mix(mixed: DataFrame, text: str = "text") -> DataFrame:
+def apply_mix(mixed: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     """The mixed rows with their decision in effect: one row per whole pass over a document and one per part of it, the text cut to the part's words and the white space before them."""
+    size, passes, from1, to1, from2, to2 = (F.col(prefix + n) for n in ("size", *OUTPUTS[4:]))
     parts = F.filter(
         F.concat(
-            F.transform(F.sequence(F.lit(1).cast("bigint"), F.greatest(F.col("passes"), F.lit(1))), lambda _: F.struct(F.lit(0).cast("bigint").alias("a"), F.when(F.col("passes") > 0, F.col("size")).otherwise(0).alias("z"))),
-            F.array(F.struct(F.col("from1").alias("a"), F.col("to1").alias("z")), F.struct(F.col("from2").alias("a"), F.col("to2").alias("z"))),
+            F.transform(F.sequence(F.lit(1).cast("bigint"), F.greatest(passes, F.lit(1))), lambda _: F.struct(F.lit(0).cast("bigint").alias("a"), F.when(passes > 0, size).otherwise(0).alias("z"))),
+            F.array(F.struct(from1.alias("a"), to1.alias("z")), F.struct(from2.alias("a"), to2.alias("z"))),
         ),
         lambda p: p["z"] > p["a"],
     )
     cut = mixed.withColumn("__part", F.explode(parts))
     words = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     piece = F.array_join(F.slice(words, (F.col("__part.a") + 1).cast("int"), (F.col("__part.z") - F.col("__part.a")).cast("int")), "")
-    whole = (F.col("__part.a") == 0) & (F.col("__part.z") == F.col("size"))
-    return cut.withColumn(text, F.when(whole, F.col(text)).otherwise(piece)).drop("__part", *OUTPUTS)
+    whole = (F.col("__part.a") == 0) & (F.col("__part.z") == size)
+    return cut.withColumn(text, F.when(whole, F.col(text)).otherwise(piece)).drop("__part", *(prefix + n for n in OUTPUTS))
