@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,12 +24,24 @@ def query(sql: str | None = None):
     return put
 
 
+def same(name: str, sql: str, oracle: str | None = None) -> None:
+    """Registers SQL that Spark and DuckDB both run (or DuckDB's own wording of it) over the tables that it names."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for t in TABLES:
+            if re.search(rf"\b{t}\b", sql):
+                table(spark, sf_dir, t).createOrReplaceTempView(t)
+        return spark.sql(sql)
+
+    run.__name__ = name
+    query(oracle or sql)(run)
+
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("""SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, count(*) AS count_order
-FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY ALL""")
-def q1_pricing_summary(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
-    return li.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_disc_price"), F.count("*").alias("count_order"))
+from tessera.plans import relational, scalar, tpch  # noqa: E402, F401
