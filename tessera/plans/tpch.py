@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from tessera.catalogue import query, table
 
-REVENUE = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+def revenue():
+    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
 
 
 def day(text: str):
@@ -27,7 +28,7 @@ def q3_shipping_priority(spark, sf_dir):
     o = table(spark, sf_dir, "orders").where(F.col("o_orderdate") < day("1996-03-15"))
     li = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") > day("1996-03-15"))
     joined = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey, "left_semi")
-    return joined.groupBy("o_orderkey", "o_orderdate").agg(F.round(F.sum(REVENUE), 2).alias("revenue")).orderBy(F.desc("revenue"), "o_orderkey").limit(10)
+    return joined.groupBy("o_orderkey", "o_orderdate").agg(F.round(F.sum(revenue()), 2).alias("revenue")).orderBy(F.desc("revenue"), "o_orderkey").limit(10)
 
 
 @query("""SELECT o_orderpriority, count(*) AS order_count FROM orders
@@ -49,7 +50,7 @@ def q5_local_supplier(spark, sf_dir):
     s = t("supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
     li = t("lineitem").join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     both = li.join(t("customer"), (F.col("o_custkey") == F.col("c_custkey")) & (F.col("c_nationkey") == F.col("s_nationkey")))
-    return both.groupBy("n_name").agg(F.round(F.sum(REVENUE), 2).alias("revenue"))
+    return both.groupBy("n_name").agg(F.round(F.sum(revenue()), 2).alias("revenue"))
 
 
 @query("""SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem
@@ -64,7 +65,7 @@ FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey =
 WHERE l_returnflag = 'R' GROUP BY ALL ORDER BY revenue DESC, c_custkey LIMIT 20""")
 def q10_returned_items(spark, sf_dir):
     t = lambda n: table(spark, sf_dir, n)
-    spent = t("lineitem").where("l_returnflag = 'R'").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey").agg(F.round(F.sum(REVENUE), 2).alias("revenue"))
+    spent = t("lineitem").where("l_returnflag = 'R'").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey").agg(F.round(F.sum(revenue()), 2).alias("revenue"))
     return spent.join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_name", "revenue", "c_acctbal", "n_name").orderBy(F.desc("revenue"), "c_custkey").limit(20)
 
 
@@ -78,7 +79,7 @@ def q13_customer_distribution(spark, sf_dir):
 @query("""SELECT round(100.0 * sum(CASE WHEN p_type = 'PROMO' THEN l_extendedprice * (1 - l_discount) ELSE 0 END) / sum(l_extendedprice * (1 - l_discount)), 6) AS promo_share FROM lineitem JOIN part ON l_partkey = p_partkey""")
 def q14_promotion_effect(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return li.agg(F.round(100 * F.sum(F.when(F.col("p_type") == "PROMO", REVENUE).otherwise(0.0)) / F.sum(REVENUE), 6).alias("promo_share"))
+    return li.agg(F.round(100 * F.sum(F.when(F.col("p_type") == "PROMO", revenue()).otherwise(0.0)) / F.sum(revenue()), 6).alias("promo_share"))
 
 
 @query("""SELECT o_custkey, o_orderkey, o_totalprice, sum(l_quantity) AS quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey
