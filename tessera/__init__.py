@@ -1 +1,8 @@
 """A PySpark-native analytics engine: relational operators, functions and constrained optimisation over DataFrames."""
+
+
+def connect(*args, **options):
+    """A session that takes SQL and hands out relations; see tessera.session."""
+    from tessera.session import connect as made
+
+    return made(*args, **options)

@@ -118,8 +118,6 @@ def test_direct_answers_match_the_solver(items):
         m, b = api.model(api.parse(text), n, data, keys, entities)
         answer, name = solve(m), text[7]
         x = chosen(quick, name)
-        cost = {t: None for t in ()}
-        del cost
         body = m.cost[b.columns[name]]
         order = [r["id"] for r in rows.orderBy("__row").collect()]
         assert sum(c * x[i] for c, i in zip(body, order)) == pytest.approx(answer.objective - m.offset)
