@@ -26,22 +26,30 @@ def platt(z: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
 
 
 class Sparse:
-    """Rows of (feature, value) pairs, with the two products a linear model needs."""
+    """Rows of (feature, value) pairs in three flat arrays, with the two products a linear model needs."""
 
     def __init__(self, feature: np.ndarray, value: np.ndarray, first: np.ndarray, dims: int):
         self.feature, self.value, self.first, self.dims = feature, value, first, dims
-        self.row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        self.some = np.flatnonzero(np.diff(first))
+        self.count = np.diff(first)
+
+    def rows(self, per_pair: np.ndarray) -> np.ndarray:
+        """Sums over each row's pairs."""
+        out = np.zeros(len(self.first) - 1)
+        if len(self.some):
+            out[self.some] = np.add.reduceat(per_pair, self.first[self.some])
+        return out
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.value * w[self.feature], len(self.first) - 1)
+        return self.rows(self.value * w.astype(np.float32)[self.feature])
 
     def back(self, r: np.ndarray) -> np.ndarray:
-        return np.bincount(self.feature, self.value * r[self.row], self.dims)
+        return np.bincount(self.feature, self.value * np.repeat(r.astype(np.float32), self.count), self.dims)
 
 
 def logistic(x: Sparse, y: np.ndarray, weight: np.ndarray, l2: float, steps: int) -> tuple[np.ndarray, float]:
     """Weights and bias of an L2-regularised logistic regression by accelerated gradient descent."""
-    row_norm = np.bincount(x.row, x.value**2, len(y))
+    row_norm = x.rows(x.value**2)
     rate = 1.0 / (0.25 * float(np.max(row_norm, initial=1.0) + 1) + l2)
     w, b = np.zeros(x.dims), 0.0
     vw, vb, t = w, b, 1.0

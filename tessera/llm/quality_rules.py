@@ -101,7 +101,7 @@ def repeated(words: tx.Words, n: int = 3) -> np.ndarray:
     return tx.row_sums(covered.astype(np.int64), words.first)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 4000, reject_below: float = 0.3, l2: float = 1e-3, steps: int = 150) -> RuleModel:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 2500, reject_below: float = 0.3, l2: float = 1e-3, steps: int = 150) -> RuleModel:
     """Fits the model to at most about `sample` labelled documents; the rest of the corpus is only scored."""
     dims = len(ORDERS) << BITS
 
@@ -127,25 +127,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     weights, bias, a, b = np.zeros((len(ORDERS), 1 << BITS), np.float32), 0.0, 1.0, 0.0
     if len(np.unique(y)) < 2:
         return RuleModel(weights, 50.0, a, b, reject_below)
-    codes = [np.frombuffer(x, np.int32) for x in rows.column("codes").to_pylist()]
-    values = [np.frombuffer(x, np.float32) for x in rows.column("values").to_pylist()]
+    raw, offsets = tx.buffer(rows.column("codes"))
+    feature, first = raw.view(np.int32), offsets // 4
+    value = tx.buffer(rows.column("values"))[0].view(np.float32)
+    square = np.bincount(feature, value * value, dims) / len(y)
+    scale = 1 / (np.sqrt(square) + 1e-3) / 30
+    x = Sparse(feature, value * scale.astype(np.float32)[feature], first, dims)
     apart = np.arange(len(y)) % 5 == 4
     if min(y[apart].sum(), (1 - y[apart]).sum()) < 3:
         apart[:] = False
-    square = np.bincount(np.concatenate(codes), np.concatenate(values).astype(float) ** 2, dims) / len(y)
-    scale = 1 / (np.sqrt(square) + 1e-3)
-
-    def matrix(which: np.ndarray) -> Sparse:
-        own = [codes[i] for i in which]
-        f = np.concatenate(own) if own else np.zeros(0, np.int32)
-        v = np.concatenate([values[i] for i in which]) * scale[f] / 30
-        return Sparse(f, v, np.concatenate([[0], np.cumsum([len(c) for c in own])]), dims)
-
-    fit = np.flatnonzero(~apart)
-    w, bias = logistic(matrix(fit), y[fit], np.ones(len(fit)), l2, steps)
-    held = np.flatnonzero(apart) if apart.any() else fit
-    a, b = platt(matrix(held).dot(w) + bias, y[held])
-    return RuleModel((w * scale / 30).astype(np.float32).reshape(len(ORDERS), -1), bias, a, b, reject_below)
+    w, bias = logistic(x, y, (~apart).astype(float), l2, steps)
+    held = apart if apart.any() else ~apart
+    a, b = platt((x.dot(w) + bias)[held], y[held])
+    return RuleModel((w * scale).astype(np.float32).reshape(len(ORDERS), -1), bias, a, b, reject_below)
 
 
 def apply_rules(df: DataFrame, model: RuleModel, keep: list[str], text: str = "text", prefix: str = "") -> DataFrame:
