@@ -179,3 +179,22 @@ def test_time_limit():
     for _ in range(8):
         m.add(np.zeros(60, int), np.arange(60), rng.integers(10, 60, 60), -1, 600, 0)
     assert solve(m, deadline=0.001).status is Status.TIME_LIMIT
+
+
+def test_large_blocks_with_few_rows():
+    """The long-step dual simplex against the plain one, and whole numbers within the gap of the bound."""
+    from tessera.decide.solve import few_rows, long_step, simplex
+
+    rng = np.random.default_rng(1)
+    for _ in range(150):
+        n, m = rng.integers(2, 12), rng.integers(1, 5)
+        a, ops, low = rng.integers(-3, 6, (m, n)).astype(float), rng.integers(-1, 2, m), rng.integers(-2, 1, n).astype(float)
+        high, c = low + rng.integers(1, 4, n), rng.integers(-6, 7, n).astype(float)
+        right = np.round(a @ (low + (high - low) * rng.random(n)))
+        one, two = simplex(c, a, ops, right, low, high), long_step(c, a, ops, right, low, high)
+        assert one[0] == two[0] and (one[1] is None or c @ one[1] == pytest.approx(c @ two[1]))
+    n = 20_000
+    a = np.stack([rng.integers(1, 50, n), rng.random(n) * 9, (rng.random(n) < 0.3) * 1.0]).astype(float)
+    c, right = -rng.random(n) * (rng.random(n) < 0.5), np.array([90_000.0, 16_000, 900])
+    status, x = few_rows(c, a, np.array([-1, -1, -1]), right, np.zeros(n), np.ones(n), np.ones(n, bool), None, 1e-4)
+    assert status is Status.OPTIMAL and set(np.unique(x)) <= {0.0, 1.0} and np.all(a @ x <= right + 1e-6)
