@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import settle
 
 OUTPUTS = ("host", "path", "rule", "verdict", "trust", "distrust")
+BROADCAST_HOSTS = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _LINK = r"(?i)\b(?:href|src)\s*=\s*[\x22\x27]?\s*(?:https?:)?//([^/?#\x22\x27\s>]+)"
@@ -74,5 +75,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], keep: list[str], url:
     reached = propagate(seeds.select("kind", "host", (F.col("n") / scale).alias("mass")), forward.unionByName(back))
     reached = reached.select(F.col("host").alias("h"), F.round("trust", 15).alias("trust"), F.round("distrust", 15).alias("distrust"))
     bad = (F.coalesce("distrust", F.lit(0.0)) > 0) & (F.col("distrust") >= share * (F.col("trust") + F.col("distrust")))
-    out = found.join(reached, found["host"] == reached["h"], "left")
+    reached = settle(reached)
+    # Scores of few hosts travel to the pages; beyond that both sides are shuffled by host, and Spark splits a hot one.
+    few = reached.count() <= BROADCAST_HOSTS
+    out = found.join(F.broadcast(reached) if few else reached, found["host"] == reached["h"], "left")
     return out.withColumn("verdict", F.coalesce("verdict", F.when(bad, F.lit("block")).otherwise(F.lit("allow")))).drop("h")
