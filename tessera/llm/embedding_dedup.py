@@ -28,6 +28,7 @@ from tessera.llm.common import settle
 from tessera.llm.components import components
 
 TILE_ROWS, CHECK_ROWS, SLACK = 512, 1 << 14, 1e-5
+LEAST_STRIPS = 12  # so that smaller tables too make enough tiles to spread
 
 
 def unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -78,7 +79,7 @@ def tile_links(a: Strip, b: Strip, threshold: float, same: bool):
 def links(nodes: DataFrame, threshold: float, strip_rows: int) -> DataFrame:
     """(node, linked, root) rows of the tiles. nodes: node, copies, vec."""
     n = nodes.count()
-    strips = max(1, -(-n // strip_rows))
+    strips = max(1, -(-n // strip_rows), min(LEAST_STRIPS, -(-n // 1024)))
     dealt = nodes.withColumn("strip", F.pmod(F.xxhash64("node", "vec"), F.lit(strips)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))))
     dealt = dealt.select(F.least("strip", "other").alias("lo"), F.greatest("strip", "other").alias("hi"), "strip", F.size("vec").alias("dim"), "node", "copies", "vec")
 
