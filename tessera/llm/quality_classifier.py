@@ -4,7 +4,7 @@ Word vectors: every token hash bucket has a fixed sparse ternary index vector; a
 the sum of the index vectors of its neighbours within `WINDOW` tokens over the whole corpus, damped and
 normalised. Tokens are runs of letters or digits, or runs of other visible characters. Each task adds up
 integer counts and emits fixed-size blocks; the sums are exact, so reruns agree.
-A document is the mean of its word vectors with its log length. The network is fitted on at most about
+A document is the mean of its word vectors, with the mean cosine of neighbouring ones and its log length. The network is fitted on at most about
 `sample` labelled documents outside the held-out fold and calibrated by a temperature.
 
 Defined results: a null or empty text pools to the zero vector and still gets a score; repeated rows score
@@ -27,6 +27,7 @@ from tessera.llm.learn import Network
 
 BUCKET_BITS, DIMS, NONZERO, WINDOW, BLOCK = 14, 32, 2, 2, 64
 BUCKETS = 1 << BUCKET_BITS
+INPUTS = DIMS + 2
 
 _WORDLIKE = np.zeros(256, bool)
 _WORDLIKE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -92,15 +93,20 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def pooled(column: pa.Array, vectors: np.ndarray) -> Iterator[np.ndarray]:
-    """Mean word vector and log length of each text, chunk by chunk."""
+    """Mean word vector, mean cosine of neighbouring words and log length of each text, chunk by chunk."""
     for _, _, data, offs in tx.chunks(column):
         bucket, first = tokens(data, offs)
         n = np.diff(first)
-        out = np.zeros((len(n), DIMS + 1))
+        out = np.zeros((len(n), INPUTS))
         some = np.flatnonzero(n)
         if len(some):
-            out[some, :DIMS] = np.add.reduceat(vectors[bucket], first[some], axis=0) / n[some, None]
-        out[:, DIMS] = np.log1p(n)
+            own = vectors[bucket]
+            out[some, :DIMS] = np.add.reduceat(own, first[some], axis=0) / n[some, None]
+            near = np.zeros(len(own))
+            near[1:] = np.einsum("ij,ij->i", own[1:], own[:-1])
+            near[first[some]] = 0
+            out[:, DIMS] = tx.row_sums(near, first) / np.maximum(n - 1, 1)
+        out[:, DIMS + 1] = np.log1p(n)
         yield out
 
 
@@ -120,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
 
     learnable = ~fold("doc_id", *held_out) if held_out else None
     rows = map_text(labelled(docs, labels, label, sample, learnable), ["doc_id", "y"], "text", [("x", "binary")], batch).toArrow().sort_by("doc_id")
-    x = np.array([np.frombuffer(v, float) for v in rows.column("x").to_pylist()]).reshape(-1, DIMS + 1)
+    x = np.array([np.frombuffer(v, float) for v in rows.column("x").to_pylist()]).reshape(-1, INPUTS)
     return QualityModel(vectors, Network(x, rows.column("y").to_numpy().astype(float), hidden, epochs, seed=7))
 
 
