@@ -41,7 +41,7 @@ DISCOUNT = 0.4
 BOS = TOP + TAILS
 CONTEXTS, PAIRS, WORD_ROWS = 1024, 4096, 8192
 CLASS_ROWS = 3 * CONTEXTS + PAIRS
-BATCH, RATE, BLOCK = 1 << 15, 0.1, 256
+BATCH, RATE, BLOCK = 1 << 15, 0.25, 256
 END = np.uint64(0x5BD1E9955BD1E995)
 
 
