@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.decide.choice import NotSeparable, solve_choice
 from tessera.decide.formulate import Builder
 from tessera.decide.parse import DecideError, Node, Problem, parse
 from tessera.decide.solve import SOLVERS, Answer, Model, Status
@@ -92,14 +93,18 @@ def model(p: Problem, n, data, keys, entities, elastic: bool = False) -> tuple[M
 
 
 def attached(rows: DataFrame, p: Problem, b: Builder, x: np.ndarray) -> DataFrame:
+    return joined(rows, p, b.rows, {v: x[b.columns[v]] for v in p.variables})
+
+
+def joined(rows: DataFrame, p: Problem, n: int, found: dict[str, np.ndarray]) -> DataFrame:
+    """The rows with their variables' values, by row number."""
     import pandas as pd
 
-    found = {"__id": np.arange(b.rows)}
+    columns = {"__id": np.arange(n)}
     for v in p.variables.values():
-        value = x[b.columns[v.name]]
-        found[v.name] = np.rint(value).astype(np.int64) if v.kind != "REAL" else value + 0.0
+        columns[v.name] = np.rint(found[v.name]).astype(np.int64) if v.kind != "REAL" else found[v.name] + 0.0
     schema = "__id bigint, " + ", ".join(f"`{v.name}` {'bigint' if v.kind != 'REAL' else 'double'}" for v in p.variables.values())
-    values = rows.sparkSession.createDataFrame(pd.DataFrame(found), schema)
+    values = rows.sparkSession.createDataFrame(pd.DataFrame(columns), schema)
     out = rows.join(values, rows["__row"] == values["__id"]).drop("__row", "__id")
     return out.withColumns({v.name: F.col(v.name).cast(KINDS[v.kind]) for v in p.variables.values()})
 
@@ -197,8 +202,14 @@ def decide(df: DataFrame, text: str, relations: dict[str, list[str]] | None = No
     rows, n, data, keys, entities = gathered(df, p, relations, row_limit)
     if not n:
         return df.withColumns({v.name: F.lit(None).cast(KINDS[v.kind]) for v in p.variables.values()})
-    m, b = model(p, n, data, keys, entities)
-    answer = SOLVERS[solver](m, time.monotonic() + time_limit)
+    try:
+        b = Builder(p, n, data, keys, entities)
+        answer, found = solve_choice(p, b, time.monotonic() + time_limit / 2)
+        if answer.x is not None:
+            return joined(rows, p, n, found)
+    except NotSeparable:
+        m, b = model(p, n, data, keys, entities)
+        answer = SOLVERS[solver](m, time.monotonic() + time_limit)
     if answer.x is None:
         raise DecideError(f"{answer.status.value}: the query has no answer; use diagnose() to see why")
     return attached(rows, p, b, answer.x)

@@ -198,3 +198,38 @@ def test_large_blocks_with_few_rows():
     c, right = -rng.random(n) * (rng.random(n) < 0.5), np.array([90_000.0, 16_000, 900])
     status, x = few_rows(c, a, np.array([-1, -1, -1]), right, np.zeros(n), np.ones(n), np.ones(n, bool), None, 1e-4)
     assert status is Status.OPTIMAL and set(np.unique(x)) <= {0.0, 1.0} and np.all(a @ x <= right + 1e-6)
+
+
+SEPARABLE = [
+    ("DECIDE y(REAL) SUCH THAT y BETWEEN 0 AND 30 AND SUM(y) <= {a} AND SUM(ABS(y - 15)) >= {b} MAXIMIZE SUM(ABS(y - w))", {"a": 30_000, "b": 34_000}),
+    ("DECIDE y(REAL) SUCH THAT y BETWEEN -20 AND 20 AND SUM(ABS(y)) >= {a} AND norm(y, 'inf') <= 15 MINIMIZE SUM(ABS(y - w)) + 0.3 * norm(y, 0, 40)", {"a": 20_000}),
+    ("DECIDE p(BOOL), y(REAL) SUCH THAT y <= 100 AND SUM(p) <= {a} AND SUM(p * y) <= {b} AND SUM(p * y) <= {c} WHEN w > 5 PER g MAXIMIZE SUM(p * y + 0.1 * p * w)", {"a": 900, "b": 50_000, "c": 9_000}),
+]
+
+
+@pytest.mark.parametrize("text,sizes", SEPARABLE, ids=["abs", "norms", "products"])
+def test_separable_problems_reach_their_bound(spark, text, sizes):
+    from tessera.decide import api
+    from tessera.decide.choice import solve_choice
+    from tessera.decide.formulate import Builder
+
+    rng = np.random.default_rng(8)
+    rows = [(i, float(round(w, 2)), int(i % 4)) for i, w in enumerate(rng.random(2500) * 40)]
+    df = spark.createDataFrame(rows, "id int, w double, g int")
+    p = api.parse(text.format(**sizes))
+    found, n, data, keys, entities = api.gathered(df, p, {}, 10_000)
+    answer, values = solve_choice(p, Builder(p, n, data, keys, entities), 1e18)
+    assert answer.status in (Status.OPTIMAL, Status.SUBOPTIMAL) and answer.x is not None
+    out = decide(df, text.format(**sizes)).toPandas()
+    y, w = out.y.to_numpy(), out.w.to_numpy()
+    if "ABS(y - 15)" in text:
+        assert y.sum() <= 30_000 + 1e-6 and np.abs(y - 15).sum() >= 34_000 - 1e-6
+        # the relaxation that lets every row take its own best end under one price is a bound from above
+        bound = min((np.maximum(np.abs(0 - w), np.abs(30 - w) - t * 30).sum() + t * 30_000) for t in np.linspace(0, 2, 401))
+        assert np.abs(y - w).sum() >= bound * (1 - 2e-3)
+    elif "norm" in text:
+        assert np.abs(y).sum() >= 20_000 - 1e-6 and np.abs(y).max() <= 15 + 1e-6
+    else:
+        gain = out.p * y
+        assert out.p.sum() <= 900 and gain.sum() <= 50_000 + 1e-6 and out[out.w > 5].assign(s=gain).groupby("g").s.sum().max() <= 9_000 + 1e-6
+        assert (gain + 0.1 * out.p * w).sum() >= 0.999 * (50_000 + 0.1 * np.sort(out.w)[-500:].sum() * 0.5)
