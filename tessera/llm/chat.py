@@ -33,14 +33,17 @@ def unescape(x: Column) -> Column:
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """events (conv_id, message, seq, kind, role, text) to messages (conv_id, message, place, role, text): place is the first sequence number."""
-    fresh = F.col("kind").isin("message", "edit", "regenerate")
-    last = events.groupBy("conv_id", "message").agg(F.max(F.when(fresh, F.col("seq"))).alias("last"), F.min("seq").alias("place"))
-    same = (F.col("a.conv_id").eqNullSafe(F.col("b.conv_id"))) & F.col("a.message").eqNullSafe(F.col("b.message"))
-    kept = events.alias("a").join(last.alias("b"), same).where(F.col("last").isNull() | F.col("seq").isNull() | (F.col("seq") > F.col("last")) | ((F.col("seq") == F.col("last")) & fresh))
-    parts = F.sort_array(F.collect_list(F.struct("seq", F.when(fresh, 0).otherwise(1).alias("later"), F.coalesce("text", F.lit("")).alias("text"))))
-    out = kept.groupBy("a.conv_id", "a.message").agg(F.min("place").alias("place"), F.max_by("role", F.struct("seq", "role")).alias("role"), parts.alias("parts"))
-    return out.select("conv_id", "message", "place", F.coalesce("role", F.lit("")).alias("role"), F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"))
+    """events (conv_id, message, seq, kind, role, text) to messages (conv_id, message, place, role, text): place is the first sequence number.
+
+    The events of one message meet once, in order; its text is that of the last fresh start and what follows.
+    """
+    later = F.when(F.col("kind").isin("message", "edit", "regenerate"), 0).otherwise(1)
+    log = F.sort_array(F.collect_list(F.struct("seq", later.alias("later"), F.coalesce("text", F.lit("")).alias("text"), "role")))
+    met = events.groupBy("conv_id", "message").agg(log.alias("log")).withColumn("last", F.array_max(F.transform(F.filter("log", lambda e: e["later"] == 0), lambda e: e["seq"])))
+    last = F.col("last")
+    kept = F.filter("log", lambda e: last.isNull() | (e["seq"] > last) | ((e["seq"] == last) & (e["later"] == 0)))
+    roles = F.filter(F.transform("log", lambda e: e["role"]), lambda r: r.isNotNull())
+    return met.select("conv_id", "message", F.array_min(F.transform("log", lambda e: e["seq"])).alias("place"), F.coalesce(F.try_element_at(roles, F.lit(-1)), F.lit("")).alias("role"), F.array_join(F.transform(kept, lambda e: e["text"]), "").alias("text"))
 
 
 def render(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant",), run: int = 64) -> DataFrame:
