@@ -48,7 +48,20 @@ SAME = [
     "SELECT n_nationkey, list(n_name ORDER BY n_name)[1] AS first FROM nation GROUP BY n_nationkey",
     "SELECT count(*) FILTER (WHERE n_regionkey = 1) AS c FROM nation",
     "SELECT * REPLACE (lower(r_name) AS r_name) FROM region",
-    "SELECT 1 AS one",
+    "SELECT list_reduce([1, 2, 3], lambda a, b: a + b) AS r, 'abcdef'[2:4] AS e, 2 ** 3 AS c, 7 // 2 AS d",
+    "SELECT n_name FROM nation WHERE n_regionkey > ANY (SELECT r_regionkey FROM region)",
+    "SELECT n_name FROM nation WHERE n_regionkey >= ALL (SELECT r_regionkey FROM region)",
+    "SELECT sum(n_nationkey) FILTER (n_regionkey = 1) AS s, first(n_name ORDER BY n_name DESC) AS f, mode(n_regionkey) AS m FROM nation",
+    "SELECT kurtosis(n_nationkey) AS k, skewness(n_nationkey) AS s FROM nation",
+    "SELECT entropy(n_regionkey) AS e, mad(n_nationkey) AS m FROM nation",
+    "SELECT regexp_replace('hello', 'l(.)', 'L\\1') AS a, regexp_extract('abc123', '[0-9]+') AS b, left('abc', -1) AS l, concat('a', NULL, 'b') AS c",
+    "SELECT dayname(DATE '2024-01-07') AS n, epoch_ms(TIMESTAMP '2024-01-01 00:00:01') AS m, gcd(12, 18) AS g, lcm(4, 6) AS l, xor(5, 3) AS x",
+    "SELECT map {'a': 1, 'b': 2}['b'] AS m, '{\"a\": 5}'->>'a' AS k, format('{} is {}', 'a', 1) AS f, jaccard('abc', 'abd') AS j",
+    "SELECT string_agg(DISTINCT n_regionkey::VARCHAR, ',' ORDER BY n_regionkey::VARCHAR) AS s FROM nation",
+    "SELECT time_bucket(INTERVAL '2 hours', TIMESTAMP '2024-01-01 05:30:00') AS t, damerau_levenshtein('ab', 'ba') AS d",
+    "SELECT count(*) AS c FROM (SELECT row_number() OVER () AS r FROM region)",
+    "WITH a AS MATERIALIZED (SELECT 1 AS x) SELECT * FROM a",
+    "SELECT * FROM generate_series(1, 3)",
 ]
 
 
