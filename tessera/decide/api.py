@@ -115,9 +115,10 @@ def direct(df: DataFrame, p: Problem) -> DataFrame | None:
     if o is None or o.when or o.per or o.body.op != "agg" or o.body.fn != "SUM" or o.body.when or o.body.relations or any(v.scope != "row" for v in p.variables.values()):
         return None
     cost = linear(o.body.args[0], df.columns)
-    if cost is None:
+    nearest = None if cost is not None else least_square(o.body.args[0], p, df.columns) if o.sense == 1 else None
+    if cost is None and nearest is None:
         return None
-    if len(p.variables) == 1 and len(p.constraints) == 1:
+    if cost is not None and len(p.variables) == 1 and len(p.constraints) == 1:
         (v,), (c,) = p.variables.values(), p.constraints
         count = c.left.op == "agg" and c.left.fn == "SUM" and not c.left.when and not c.left.relations and c.left.args[0].op == "var"
         if v.kind == "BOOL" and count and c.right.op == "num" and not c.when and c.op in ("<=", "="):
@@ -156,8 +157,12 @@ def direct(df: DataFrame, p: Problem) -> DataFrame | None:
     out, checks = df, F.lit(False)
     for v in p.variables.values():
         lo, hi = (F.ceil(low[v.name]).cast("double"), F.floor(F.least(high[v.name], F.lit(9e15))).cast("double")) if v.kind != "REAL" else (low[v.name], high[v.name])
-        gain = F.expr(f"cast(({cost.get(v.name, '0')}) as double) * {-o.sense}")
-        value = F.when(gain > 0, hi).when(gain <= 0, lo)
+        if nearest is not None:
+            value = F.least(F.greatest(F.expr(f"cast({nearest} as double)"), lo), hi)
+            value = F.when(F.expr(f"({nearest}) is not null"), value)
+        else:
+            gain = F.expr(f"cast(({cost.get(v.name, '0')}) as double) * {-o.sense}")
+            value = F.when(gain > 0, hi).when(gain <= 0, lo)
         checks = checks | value.isNull() | (lo > hi) | (F.abs(value) >= 9e15)
         out = out.withColumn(v.name, value.cast(KINDS[v.kind]))
     if not df.where(checks).isEmpty():
@@ -165,6 +170,20 @@ def direct(df: DataFrame, p: Problem) -> DataFrame | None:
     return out
 
 
+def least_square(node: Node, p: Problem, columns: list[str]) -> str | None:
+    """Where the square of one REAL variable less data, POWER(x - data, 2), is zero, as SQL; null for any other form."""
+    if node.op != "pow" or len(p.variables) != 1 or next(iter(p.variables.values())).kind != "REAL":
+        return None
+    base = node.args[0]
+    if base.op == "add" and len(base.args) == 2 and base.args[0].op == "var":
+        other = base.args[1]
+        if other.op == "neg" and other.args[0].op in ("num", "data") and "select" not in other.args[0].text.lower():
+            return f"({bare(other.args[0].text, columns)})"
+        if other.op in ("num", "data") and "select" not in other.text.lower():
+            return f"-({bare(other.text, columns)})"
+    return None
+
+
 def linear(node: Node, columns: list[str]) -> dict[str, str] | None:
     """Coefficients of an expression that is a sum of data times variable, as SQL; null if it is not."""
     if node.op == "var":

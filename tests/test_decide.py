@@ -233,3 +233,12 @@ def test_separable_problems_reach_their_bound(spark, text, sizes):
         gain = out.p * y
         assert out.p.sum() <= 900 and gain.sum() <= 50_000 + 1e-6 and out[out.w > 5].assign(s=gain).groupby("g").s.sum().max() <= 9_000 + 1e-6
         assert (gain + 0.1 * out.p * w).sum() >= 0.999 * (50_000 + 0.1 * np.sort(out.w)[-500:].sum() * 0.5)
+
+
+def test_separable_squares_are_answered_by_spark(items):
+    from tessera.decide import api
+
+    text = "DECIDE y(REAL) SUCH THAT y <= 5 AND y >= 3 MINIMIZE SUM(POWER(y - weight, 2))"
+    got = chosen(api.direct(items, api.parse(text)), "y")
+    assert [got[i[0]] for i in ITEMS] == [min(5, max(3, w)) for w in WT]
+    assert api.direct(items, api.parse("DECIDE y(REAL) SUCH THAT y <= 5 MAXIMIZE SUM(POWER(y - weight, 2))")) is None
