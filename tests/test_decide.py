@@ -242,3 +242,14 @@ def test_separable_squares_are_answered_by_spark(items):
     got = chosen(api.direct(items, api.parse(text)), "y")
     assert [got[i[0]] for i in ITEMS] == [min(5, max(3, w)) for w in WT]
     assert api.direct(items, api.parse("DECIDE y(REAL) SUCH THAT y <= 5 MAXIMIZE SUM(POWER(y - weight, 2))")) is None
+
+
+def test_one_quadratic_limit(items):
+    text = "DECIDE y(REAL) SUCH THAT y >= 0 AND y <= 50 AND SUM(POWER(y, 2)) <= {k} MINIMIZE norm(y - weight, 2) + 0.01 * SUM(y)"
+    r = chosen(decide(items, text.format(k=1000)), "y")
+    assert [r[i[0]] for i in ITEMS] == pytest.approx([w - 0.005 for w in WT])
+    r = chosen(decide(items, text.format(k=20)), "y")
+    y = np.array([r[i[0]] for i in ITEMS])
+    assert (y**2).sum() == pytest.approx(20) and np.allclose((y / (np.array(WT) - 0.005)), y[0] / (WT[0] - 0.005))
+    with pytest.raises(DecideError):
+        decide(items, "DECIDE y(REAL) SUCH THAT y >= 2 AND y <= 9 AND SUM(POWER(y, 2)) <= 3 MINIMIZE SUM(y)").collect()
