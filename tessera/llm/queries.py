@@ -72,7 +72,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    own = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], log.schema)
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    own = spark.range(2).select(F.lit(-1).cast(log.schema["conv_id"].dataType).alias("conv_id"), F.col("id").cast(log.schema["turn"].dataType).alias("turn"), role.alias("role"), F.lit(CONTROL_TEXT).alias("text"))
     events = log.unionByName(own).select("conv_id", F.struct("turn", F.monotonically_increasing_id().alias("row")).alias("message"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
     return chat.digest(chat.parse(chat.render(chat.fold(events))))
 
