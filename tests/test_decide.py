@@ -253,3 +253,13 @@ def test_one_quadratic_limit(items):
     assert (y**2).sum() == pytest.approx(20) and np.allclose((y / (np.array(WT) - 0.005)), y[0] / (WT[0] - 0.005))
     with pytest.raises(DecideError):
         decide(items, "DECIDE y(REAL) SUCH THAT y >= 2 AND y <= 9 AND SUM(POWER(y, 2)) <= 3 MINIMIZE SUM(y)").collect()
+
+
+def test_knapsacks_by_weight(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, int(v), int(w)) for i, (v, w) in enumerate(zip(rng.integers(100, 999, 150), rng.integers(5, 60, 150)))]
+    out = decide(spark.createDataFrame(rows, "id int, v int, w int"), "DECIDE x(BOOL) SUCH THAT SUM(x * w) <= 777 MAXIMIZE SUM(x * v)").collect()
+    best = np.zeros(778)
+    for _, v, w in rows:
+        best[w:] = np.maximum(best[w:], best[:-w] + v)
+    assert sum(r.x * r.w for r in out) <= 777 and sum(r.x * r.v for r in out) == best[-1]
