@@ -1,4 +1,4 @@
-"""A corpus pipeline: quality rules, quality classifier, SimHash near-duplicates, mixing, packing.
+"""A corpus pipeline: quality rules, quality classifier, near-duplicates, mixing, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before it kept; all but the last return
 the columns of documents. Models are fitted on the whole documents table and its labels, as a stage's own input
@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, packing, quality_classifier, quality_rules, simhash
+from tessera.llm import jaccard, mixing, packing, quality_classifier, quality_rules
 from tessera.llm.common import read, settle, shared_folder
 from tessera.llm.queries import tokenizer_files
 
@@ -30,11 +30,11 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays; rows with a null id stay.
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest id stays; rows with a null id stay.
 
     Rows that share an id are one document; the first of them in order of their columns stays.
     """
-    found = simhash.near_duplicates(docs)
+    found = jaccard.near_duplicates(docs)
     ids = settle(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows")))
     kept = docs.join(ids, "doc_id")
     once = kept.where("__rows = 1").select(*(f"`{c}`" for c in docs.columns))

@@ -1,0 +1,245 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles: all pairs at or above a threshold, none below.
+
+Texts with equal sets of shingles are folded into one node first. Search: a text's shingles stand in one
+order for all texts; two texts of the similarity asked for share a shingle among the first
+n - ceil(similarity * n) + 1 of each (prefix filter), and at the first one they share, what is left of both
+must reach the overlap needed (positional filter); the number of shared prefix shingles bounds it as well. The order puts shingles that a bounded sample finds in
+many texts last; any order gives the same result, so the sample sets the cost only.
+Crowded shingles are not paired up at once: each text at a shingle meets the smallest one there, which joins
+groups of near copies by a number of pairs linear in their rows; then only texts that are still in
+different groups meet at a shingle they share; these meetings do grow with the square of a shingle's texts. All pairs are verified over their whole sets.
+
+Defined results: words are lower-cased (A-Z); fewer words than a shingle count as one shingle; null and
+wordless texts are alike; rows that share an id are one document; a row with a null id takes the component
+of its set if a row with an id has it, else null; an empty table gives an empty result. Shingles and sets are
+told apart by 64-bit hashes.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.llm import text as tx
+from tessera.llm.common import map_text, settle
+from tessera.llm.components import components
+
+SAMPLE, HOT, BROADCAST = 4096, 1 << 16, 1 << 19
+BLOCK_BITS, SLOT_BITS = 10, 16
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A settled frame, broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
+def sets(column: pa.Array, shingle: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For chunks of rows: the distinct shingles of each row, ascending, and where each row's begin (rows + 1)."""
+    for _, _, data, offs in tx.chunks(column):
+        words = tx.Words(tx.lower(data), offs)
+        h, n = words.hashes(), words.counts
+        k = np.minimum(n, shingle)
+        per_row = np.where(n > 0, n - k + 1, 0)
+        row = np.repeat(np.arange(len(n)), per_row)
+        at = words.first[:-1][row] + np.arange(len(row)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
+        key = tx.mix(k[row].astype(np.uint64))
+        for i in range(shingle):
+            inside = i < k[row]
+            key = np.where(inside, tx.mix(key * np.uint64(5) + h[np.where(inside, at + i, at)]), key)
+        order = np.lexsort((key, row))
+        key, row = key[order], row[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+        yield key[new], np.searchsorted(row[new], np.arange(len(n) + 1))
+
+
+def _digests(key: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A number of each row's set; zero for an empty one."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tx.mix(key ^ np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64)])
+    return tx.mix(total[first[1:]] - total[first[:-1]]).view(np.int64)
+
+
+def _binaries(key: np.ndarray, first: np.ndarray) -> list[bytes]:
+    return [key[a:z].tobytes() for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+
+def common_shingles(df: DataFrame, shingle: int) -> np.ndarray:
+    """At most HOT shingles that three or more texts of a bounded sample hold, ascending."""
+    share = int(min(1.0, SAMPLE / max(1, df.count())) * (1 << 20))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, _ in sets(b.column(0), shingle):
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["h"])
+
+    some = df.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share).select("text")
+    seen = some.mapInArrow(run, "h bigint").groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(HOT)
+    return np.sort(seen.select("h").toArrow().column("h").to_numpy().view(np.uint64))
+
+
+def prefixes(df: DataFrame, shingle: int, ratio: Fraction, hot: np.ndarray) -> DataFrame:
+    """(doc_id, key, n, prefix): the number of each row's set, its size and its first shingles."""
+
+    def batch(column: pa.Array) -> list[pa.Array]:
+        keys, sizes, out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+        for key, first in sets(column, shingle):
+            n = np.diff(first)
+            keys.append(_digests(key, first))
+            sizes.append(n)
+            row = np.repeat(np.arange(len(n)), n)
+            late = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key if len(hot) else np.zeros(len(key), bool)
+            ordered = key[np.lexsort((key, late, row))]
+            long = n + (-ratio.numerator * n) // ratio.denominator + 1
+            out += [ordered[a : a + m].tobytes() for a, m in zip(first[:-1].tolist(), np.minimum(long, n).tolist(), strict=True)]
+        return [pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes)), pa.array(out, pa.binary())]
+
+    return map_text(df, ["doc_id"], "text", [("key", "bigint"), ("n", "bigint"), ("prefix", "binary")], batch)
+
+
+def _split(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The block of each shingle and its next 32 bits."""
+    return (h >> np.uint64(64 - BLOCK_BITS)).astype(np.int32), ((h >> np.uint64(32 - BLOCK_BITS)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def repeated(nodes: DataFrame) -> np.ndarray:
+    """One bit per slot of shingles, set if a shingle there is in the prefixes of two nodes; (blocks, bytes). A set bit is no proof, a clear one is."""
+
+    def out(h: np.ndarray) -> Iterator[pa.RecordBatch]:
+        h, n = np.unique(h, return_counts=True)
+        block, code = _split(np.repeat(h, np.minimum(n, 2)))
+        border = np.searchsorted(block, np.arange((1 << BLOCK_BITS) + 1))
+        some = np.flatnonzero(np.diff(border))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([code[border[b] : border[b + 1]].tobytes() for b in some], pa.binary())], names=["block", "codes"])
+
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, size = [], 0
+        for b in batches:
+            kept.append(tx.buffer(b.column(0))[0].view(np.uint64).copy())
+            size += len(kept[-1])
+            if size > 1 << 21:
+                yield from out(np.concatenate(kept))
+                kept, size = [], 0
+        if kept:
+            yield from out(np.concatenate(kept))
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        for b in batches:
+            for block, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                held.setdefault(block, []).append(np.frombuffer(raw.as_buffer(), np.uint32).copy())
+        for block, parts in held.items():
+            code, n = np.unique(np.concatenate(parts), return_counts=True)
+            flags = np.zeros(1 << SLOT_BITS, bool)
+            flags[code[n > 1] >> np.uint32(32 - SLOT_BITS)] = True
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(flags).tobytes()], pa.binary())], names=["block", "bits"])
+
+    found = nodes.select("prefix").mapInArrow(codes, "block int, codes binary").repartition(F.col("block")).mapInArrow(bits, "block int, bits binary").toArrow()
+    seen = np.zeros((1 << BLOCK_BITS, 1 << SLOT_BITS - 3), np.uint8)
+    for block, raw in zip(found.column("block").to_pylist(), found.column("bits").to_pylist(), strict=True):
+        seen[block] = np.frombuffer(raw, np.uint8)
+    return seen
+
+
+def entries(nodes: DataFrame, seen: np.ndarray) -> DataFrame:
+    """(h, at, n, key): a row for each shingle of each prefix that another prefix may hold, `at` counted from 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, first = tx.buffer(b.column(2))
+            h, long = h.view(np.uint64), np.diff(first) // 8
+            block, code = _split(h)
+            slot = code >> np.uint32(32 - SLOT_BITS)
+            keep = (seen[block, slot >> np.uint32(3)] >> (7 - (slot & np.uint32(7))).astype(np.uint8)) & 1 > 0
+            at = np.arange(len(h)) - np.repeat(np.cumsum(long) - long, long) + 1
+            cols = [c[keep] for c in (h.view(np.int64), at.astype(np.int32), np.repeat(b.column(1).to_numpy().astype(np.int32), long), np.repeat(b.column(0).to_numpy(), long))]
+            for lo in range(0, len(cols[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + (1 << 16)]) for c in cols], names=["h", "at", "n", "key"])
+
+    return nodes.select("key", "n", "prefix").mapInArrow(run, "h bigint, at int, n int, key bigint")
+
+
+def _enough(overlap, a: str, b: str, ratio: Fraction):
+    """Whether sets of sizes a and b with that overlap, or a bound on it, are similar enough."""
+    return overlap.cast("bigint") * (ratio.numerator + ratio.denominator) >= ratio.numerator * (F.col(a) + F.col(b))
+
+
+def _rest():
+    """What entries a and b of one shingle leave of the shorter set after them."""
+    return F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
+
+
+def meetings(several: DataFrame, ratio: Fraction) -> DataFrame:
+    """Pairs (u, v) of keys in different groups that their prefixes leave possible.
+
+    A shared entry at places p and q leaves min(p, q) + the rest at most; the first one leaves 1 + the rest. Of the prefix that
+    ends first every shared shingle is in the other one, so the number of shared entries and all behind that prefix bound the overlap.
+    """
+    met = several.alias("a").join(several.alias("b"), "h").where((F.col("a.key") < F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & _enough(F.least("a.at", "b.at") + _rest(), "a.n", "b.n", ratio))
+    pairs = met.groupBy(F.col("a.key").alias("u"), F.col("b.key").alias("v"), F.col("a.n").alias("m"), F.col("b.n").alias("n")).agg(F.count("*").alias("c"), F.max(_rest()).alias("rest"))
+    behind = F.ceil(F.greatest("m", "n") * ratio.numerator / ratio.denominator) - 1
+    return pairs.where(_enough(1 + F.col("rest"), "m", "n", ratio) & _enough(F.col("c") + behind, "m", "n", ratio)).select("u", "v")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, df: DataFrame, shingle: int, ratio: Fraction) -> DataFrame:
+    """Those of the pairs (u, v) of keys whose sets are similar enough; settled."""
+    pairs = settle(pairs.distinct())
+    ends = pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct()
+    wanted = _small(settle(ends.join(nodes.select("key", "node"), "key")))
+
+    def batch(column: pa.Array) -> list[pa.Array]:
+        keys, out = [np.zeros(0, np.int64)], []
+        for key, first in sets(column, shingle):
+            keys.append(_digests(key, first))
+            out += _binaries(key, first)
+        return [pa.array(np.concatenate(keys)), pa.array(out, pa.binary())]
+
+    some = df.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    whole = map_text(some, [], "text", [("key", "bigint"), ("set", "binary")], batch).join(wanted.select("key"), "key", "left_semi")
+    whole = whole.groupBy("key").agg(F.first("set").alias("set"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both * (ratio.numerator + ratio.denominator) >= ratio.numerator * (len(x) + len(y)))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in (b.column(0), b.column(1))], names=["u", "v"])
+
+    a, b = (whole.select(F.col("key").alias(k), F.col("set").alias(f"set_{k}")) for k in "uv")
+    return settle(pairs.join(a, "u").join(b, "v").select("u", "v", "set_u", "set_v").mapInArrow(run, "u bigint, v bigint"))
+
+
+def links(nodes: DataFrame, df: DataFrame, shingle: int, ratio: Fraction) -> DataFrame:
+    """Edges (u, v) between keys, all of them similar enough, whose closure is that of all similar pairs."""
+    shared = entries(nodes, repeated(nodes))
+    lead = shared.groupBy("h").agg(F.min(F.struct("key", "at", "n")).alias("lead"), F.count("*").alias("c")).where("c > 1").select("h", "lead.*")
+    star = shared.alias("a").join(lead.alias("b"), "h").where(F.col("a.key") != F.col("b.key")).where(_enough(1 + _rest(), "a.n", "b.n", ratio))
+    first = verified(star.select(F.col("b.key").alias("u"), F.col("a.key").alias("v")), nodes, df, shingle, ratio)
+    groups = _small(settle(components(first).withColumnRenamed("node", "key")))
+    grouped = shared.join(groups, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    mixed = settle(grouped.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h"))
+    several = grouped.join(_small(mixed), "h", "left_semi")
+    second = verified(meetings(several, ratio), nodes, df, shingle, ratio)
+    return first.unionByName(second)
+
+
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of every row: component_id is the smallest id reachable over pairs of at least the similarity."""
+    ratio = Fraction(str(similarity))
+    df = df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = settle(prefixes(df, shingle, ratio, common_shingles(df, shingle))).withColumn("row", F.monotonically_increasing_id())
+    named = rows.where(F.col("doc_id").isNotNull())
+    chosen = settle(named.groupBy("key").agg(F.min(F.struct("doc_id", "row")).alias("own")).select(F.col("own.row").alias("row"), F.col("own.doc_id").alias("node")))
+    nodes = named.join(_small(chosen), "row").select("key", "node", "n", "prefix")
+    ids = named.groupBy("doc_id").agg(F.min("key").alias("v"), F.max("key").alias("hi")).where("v < hi")
+    same = named.select("doc_id", F.col("key").alias("u")).join(ids, "doc_id").where("u <> v").select("u", "v")
+    found = components(links(nodes, df, shingle, ratio).unionByName(same))
+    rooted = nodes.select("key", "node").join(found.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "node", F.coalesce("root", "key").alias("root"))
+    named_roots = settle(rooted.join(rooted.groupBy("root").agg(F.min("node").alias("component_id")), "root").select("key", "component_id"))
+    return rows.select("doc_id", "key").join(named_roots, "key", "left").select("doc_id", "component_id")

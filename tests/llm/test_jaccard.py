@@ -1,0 +1,65 @@
+"""The pipeline's near-duplicates against all pairs of five-word sets."""
+
+import re
+
+import numpy as np
+import pytest
+
+from tessera.llm import jaccard
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def shingles(text):
+    w = WORD.findall((text or "").lower())
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def want(rows):
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for _ in rows:
+        for i in range(len(rows)):
+            for j in range(i):
+                if root[i] != root[j] and (rows[i][0] == rows[j][0] or sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])):
+                    low, high = sorted((root[i], root[j]))
+                    root = [low if r == high else r for r in root]
+    return {rows[i][0]: min(rows[j][0] for j in range(len(rows)) if root[j] == root[i]) for i in range(len(rows))}
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = np.random.default_rng(4)
+    vocabulary = [f"Word{i}" for i in range(900)]
+    passage = list(rng.choice(vocabulary, 60))
+    out = [(900, None), (901, " \n"), (902, ""), (903, "three short words"), (904, "Three SHORT words"), (905, "three short")]
+    for centre in range(6):
+        words = list(rng.choice(vocabulary, 120)) + (passage if centre % 2 else [])
+        for _ in range(12):
+            own = list(words)
+            for at in rng.choice(len(own), rng.integers(0, 9), replace=False):
+                own[at] = "edit" + str(rng.integers(1 << 30))
+            out.append((len(out), " ".join(own)))
+    for _ in range(20):
+        out.append((len(out), " ".join([*passage, *rng.choice(vocabulary, rng.integers(2, 40))])))
+    return out + [(7, " ".join(passage[::-1])), (7, " ".join(passage[::-1]) + " one more")]
+
+
+@pytest.mark.parametrize("sample", [4096, 0])
+def test_all_pairs_are_found(spark, rows, monkeypatch, sample):
+    monkeypatch.setattr(jaccard, "SAMPLE", sample)
+    r = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).toPandas()
+    assert len(r) == len(rows) and dict(zip(r.doc_id, r.component_id)) == want(rows)
+
+
+def test_pipeline_stage_drops_copies_beyond_two_bits(spark):
+    from corpus_pipeline import near_duplicate_stage
+
+    words = [f"w{i}" for i in range(200)]
+    near, far = list(words), list(words)
+    for i in (20, 90, 160):
+        near[i] = "edit"
+    for i in range(10, 200, 15):
+        far[i] = "edit"
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate((words, near, far))], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in near_duplicate_stage(spark, docs, "").collect()) == [0, 2]
