@@ -16,7 +16,7 @@ from tessera.functions import text as T
 
 
 def pack(name: str, source: str, key: str, columns: dict[str, tuple[Callable[[], Column] | str, str]], where: str = "true") -> None:
-    """Registers a query of the key and the named columns, each given as a function that makes the Column (or as Spark SQL) and as DuckDB SQL."""
+    """Registers a query of the key and the named columns, each given as a function that makes the Column (or as Spark SQL) and as DuckDB SQL; if `where` is given, also one over the whole table."""
 
     def run(spark, sf_dir):
         df = table(spark, sf_dir, source).where(where)
@@ -24,6 +24,8 @@ def pack(name: str, source: str, key: str, columns: dict[str, tuple[Callable[[],
 
     run.__name__ = name
     query(f"SELECT {key}, {', '.join(f'{sql} AS {n}' for n, (_, sql) in columns.items())} FROM {source} WHERE {where}")(run)
+    if where != "true":
+        pack(f"{name}_whole", source, key, columns)
 
 
 def text(l: Column) -> Column:

@@ -77,6 +77,11 @@ def json_group_array(spark, sf_dir):
     return e.groupBy("event_type").agg(F.to_json(A.list_ordered(F.col("user_id"), F.col("event_id"))).alias("users"), F.count("*").alias("n"))
 
 
+@query("SELECT event_type, to_json(list(user_id ORDER BY event_id))::VARCHAR AS users, count(*) AS n FROM events GROUP BY event_type")
+def json_group_array_whole(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.to_json(A.list_ordered(F.col("user_id"), F.col("event_id"))).alias("users"), F.count("*").alias("n"))
+
+
 @query("SELECT event_id, json_transform(props, '{\"k\": \"INTEGER\"}').k AS k FROM events")
 def json_transform(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
