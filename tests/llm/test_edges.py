@@ -153,3 +153,17 @@ def test_words_agree_with_the_pattern():
         raw = data.tobytes()
         assert [raw[a:b] for a, b in zip(w.starts, w.ends)] == [x for i in range(len(offs) - 1) for x in re.findall(rb"[^\x20\x09-\x0D]+", raw[offs[i] : offs[i + 1]])]
         assert np.array_equal(w.counts, [len(re.findall(rb"[^\x20\x09-\x0D]+", raw[offs[i] : offs[i + 1]])) for i in range(len(offs) - 1)])
+
+
+def test_rules_learn_from_4000_documents(spark, monkeypatch):
+    from tessera.llm import quality_rules
+
+    asked = []
+
+    def labelled(docs, labels, label, bound):
+        asked.append(bound)
+        return docs.select("doc_id", "text").limit(0).selectExpr("doc_id", "0 AS y", "text")
+
+    monkeypatch.setattr(quality_rules, "labelled", labelled)
+    quality_rules.train(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), None)
+    assert asked == [4000]
