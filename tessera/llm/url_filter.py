@@ -43,14 +43,22 @@ def matched(rules: list[tuple[str, str]], host: Column, path: Column) -> tuple[C
     return rule, action
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 8) -> DataFrame:
-    """(host, trust, distrust). seeds (kind, host, mass) sum to 1 by kind; edges (kind, src, dst, part): parts of a source sum to 1."""
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 1000) -> DataFrame:
+    """(host, trust, distrust). seeds (kind, host, mass) sum to 1 at most by kind; edges (kind, src, dst, part): parts of a source sum to 1.
+
+    Rounds end when no host is new and the change of mass is at most the tolerance; if it is not after `rounds`, that is an error.
+    """
     edges, mass = settle(edges), seeds
-    for i in range(rounds):
+    for _ in range(rounds):
         moved = mass.alias("m").join(edges.alias("e"), (F.col("m.host") == F.col("e.src")) & (F.col("m.kind") == F.col("e.kind"))).select("e.kind", F.col("dst").alias("host"), (damping * F.col("mass") * F.col("part")).alias("mass"))
-        mass = moved.unionByName(seeds.withColumn("mass", (1 - damping) * F.col("mass"))).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
-        if i % 4 == 3:
-            mass = settle(mass)
+        moved = moved.unionByName(seeds.withColumn("mass", (1 - damping) * F.col("mass"))).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
+        before, mass = mass, settle(moved)
+        both = mass.withColumn("was", F.lit(0.0)).unionByName(before.select("kind", "host", F.lit(0.0).alias("mass"), F.col("mass").alias("was"))).groupBy("kind", "host").agg(F.sum("mass").alias("now"), F.sum("was").alias("was"))
+        change, new = both.agg(F.coalesce(F.sum(F.abs(F.col("now") - F.col("was"))), F.lit(0.0)), F.count(F.when(F.col("was") == 0, 1))).first()
+        if change <= tolerance and not new:
+            break
+    else:
+        raise RuntimeError(f"trust did not settle in {rounds} rounds")
     return mass.groupBy("host").agg(F.sum(F.when(F.col("kind") == "allow", F.col("mass")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "block", F.col("mass")).otherwise(0.0)).alias("distrust"))
 
 

@@ -282,3 +282,12 @@ def test_rule_model_without_both_classes(spark):
     docs = spark.createDataFrame([(1, "word " * 60), (2, "other thing " * 60)], "doc_id bigint, text string")
     model = quality_rules.train(docs, spark.createDataFrame([(1, 1)], "doc_id bigint, quality int"))
     assert quality_rules.apply_rules(docs, model, ["doc_id"]).where(F.col("kept") == F.col("base_failed")).count() == 0
+
+
+def test_trust_reaches_hosts_over_eight_links_away(spark):
+    seeds = spark.createDataFrame([("allow", "h0", 1.0)], "kind string, host string, mass double")
+    edges = spark.createDataFrame([("allow", f"h{i}", f"h{i + 1}", 1.0) for i in range(11)], "kind string, src string, dst string, part double")
+    trust = {r.host: r.trust for r in url_filter.propagate(seeds, edges).collect()}
+    assert [trust[f"h{i}"] for i in range(12)] == pytest.approx([0.15 * 0.85**i for i in range(12)])
+    with pytest.raises(RuntimeError):
+        url_filter.propagate(seeds, edges, rounds=3)
