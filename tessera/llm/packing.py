@@ -6,8 +6,8 @@ attempt. Second pass: prefix sums over the tasks' totals (one number per task, o
 global offsets, and documents are cut where windows of `length` tokens end. A document that crosses a border
 gives a boundary record on both sides; only the last window can be short.
 
-Token ids are those of the `tokenizers` file without special tokens. Texts made up of Latin letters and
-common punctuation are encoded by the equal rank vocabulary, which is four times as fast; any other text goes
+Token ids are those of the `tokenizers` file, with no special tokens put in; a text that spells an added token gets its id. Texts made up of Latin letters and
+common punctuation without an added token are encoded by the equal rank vocabulary, which is four times as fast; any other text goes
 to `tokenizers` itself, as the two libraries may class rarer characters by different Unicode tables.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed once each; an empty
@@ -40,9 +40,7 @@ def encoder(tokenizer_file: str, ranks_file: str | None, pattern: str | None):
     def exact():
         from tokenizers import Tokenizer
 
-        found = Tokenizer.from_file(tokenizer_file)
-        found.encode_special_tokens = True
-        return found
+        return Tokenizer.from_file(tokenizer_file)
 
     def slow(text: str) -> np.ndarray:
         return np.array(exact().encode(text, add_special_tokens=False).ids, np.uint32)
@@ -54,7 +52,8 @@ def encoder(tokenizer_file: str, ranks_file: str | None, pattern: str | None):
     with open(ranks_file, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     quick = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: slow(text) if RARE.search(text) else quick.encode_to_numpy(text, disallowed_special=()).astype(np.uint32)
+    added = [t.content for t in exact().get_added_tokens_decoder().values()]
+    return lambda text: slow(text) if RARE.search(text) or any(t in text for t in added) else quick.encode_to_numpy(text, disallowed_special=()).astype(np.uint32)
 
 
 def tokenise(df: DataFrame, keep: list[str], tokenizer_file: str, ranks_file: str | None = None, pattern: str | None = None, end_id: int = 1, text: str = "text") -> DataFrame:

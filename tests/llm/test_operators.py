@@ -291,3 +291,11 @@ def test_trust_reaches_hosts_over_eight_links_away(spark):
     assert [trust[f"h{i}"] for i in range(12)] == pytest.approx([0.15 * 0.85**i for i in range(12)])
     with pytest.raises(RuntimeError):
         url_filter.propagate(seeds, edges, rounds=3)
+
+
+def test_added_tokens_are_encoded_as_the_tokenizer_does():
+    from tokenizers import Tokenizer
+
+    text = "see <|endoftext|> here"
+    want = Tokenizer.from_file(tokenizer_files()["tokenizer_file"]).encode(text, add_special_tokens=False).ids
+    assert packing.encoder(*tokenizer_files().values())(text).tolist() == want
