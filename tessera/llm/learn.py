@@ -26,30 +26,40 @@ def platt(z: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
 
 
 class Sparse:
-    """Rows of (feature, value) pairs in three flat arrays, with the two products a linear model needs."""
+    """Rows of (feature, value) pairs in three flat arrays, with the two products a linear model needs, made some rows at a time."""
 
-    def __init__(self, feature: np.ndarray, value: np.ndarray, first: np.ndarray, dims: int):
+    def __init__(self, feature: np.ndarray, value: np.ndarray, first: np.ndarray, dims: int, pairs: int = 1 << 18):
         self.feature, self.value, self.first, self.dims = feature, value, first, dims
-        self.some = np.flatnonzero(np.diff(first))
         self.count = np.diff(first)
-
-    def rows(self, per_pair: np.ndarray) -> np.ndarray:
-        """Sums over each row's pairs."""
-        out = np.zeros(len(self.first) - 1)
-        if len(self.some):
-            out[self.some] = np.add.reduceat(per_pair, self.first[self.some])
+        borders = np.unique(np.searchsorted(first, np.arange(0, int(first[-1]) + pairs, pairs)))
+        self.cuts = list(zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True)) if len(borders) > 1 else []
+
+    def slices(self):
+        """(rows, features, values, where each row's begin among them) of each part."""
+        for lo, hi in self.cuts:
+            hi = min(hi, len(self.count))
+            a, z = self.first[lo], self.first[hi]
+            yield slice(lo, hi), self.feature[a:z], self.value[a:z], self.first[lo : hi + 1] - a
+
+    def dot(self, w: np.ndarray | None) -> np.ndarray:
+        """Products of the rows with w; without w the rows' squared lengths."""
+        out, w = np.zeros(len(self.count)), None if w is None else w.astype(np.float32)
+        for rows, feature, value, first in self.slices():
+            some = np.flatnonzero(np.diff(first))
+            if len(some):
+                out[rows][some] = np.add.reduceat(value * (value if w is None else w[feature]), first[some])
         return out
 
-    def dot(self, w: np.ndarray) -> np.ndarray:
-        return self.rows(self.value * w.astype(np.float32)[self.feature])
-
     def back(self, r: np.ndarray) -> np.ndarray:
-        return np.bincount(self.feature, self.value * np.repeat(r.astype(np.float32), self.count), self.dims)
+        out = np.zeros(self.dims)
+        for rows, feature, value, _ in self.slices():
+            out += np.bincount(feature, value * np.repeat(r[rows].astype(np.float32), self.count[rows]), self.dims)
+        return out
 
 
 def logistic(x: Sparse, y: np.ndarray, weight: np.ndarray, l2: float, steps: int) -> tuple[np.ndarray, float]:
     """Weights and bias of an L2-regularised logistic regression by accelerated gradient descent."""
-    row_norm = x.rows(x.value**2)
+    row_norm = x.dot(None)
     rate = 1.0 / (0.25 * float(np.max(row_norm, initial=1.0) + 1) + l2)
     w, b = np.zeros(x.dims), 0.0
     vw, vb, t = w, b, 1.0

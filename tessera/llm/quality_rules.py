@@ -1,8 +1,8 @@
 """Quality rules (operator 6): exact text statistics with fixed limits, then a hashed n-gram logistic regression.
 
-Learning: word 1- and 2-grams and byte 1- to 3-grams, hashed, as relative frequencies; L2 logistic
-regression on a bounded labelled sample (`sample` documents), its margin turned into a probability by
-Platt scaling on rows set apart. Because features are relative frequencies, a text's margin is the mean
+Learning: word 1- and 2-grams and character 1- to 3-grams (code points), hashed, as relative frequencies; L2
+logistic regression on a bounded labelled sample (`sample` documents), its margin turned into a probability by
+Platt scaling on rows set apart. The driver goes through the sample some documents at a time. Because features are relative frequencies, a text's margin is the mean
 of gathered weights, so scoring is one gather and one running sum per n-gram order.
 
 Defined results: a null or empty text has zero statistics, fails the base rule and is not kept;
@@ -23,7 +23,7 @@ from tessera.llm.common import labelled, map_text
 from tessera.llm.learn import Sparse, logistic, platt, sigmoid
 
 BITS = 14
-ORDERS = ("word1", "word2", "byte1", "byte2", "byte3")
+ORDERS = ("word1", "word2", "char1", "char2", "char3")
 FIELDS = [("n_words", "bigint"), ("word_chars", "bigint"), ("n_symbols", "bigint"), ("n_dup_lines", "bigint"), ("n_repeat_words", "bigint"), ("base_failed", "boolean"), ("kept", "boolean"), ("probability", "double")]
 
 _SYMBOL = np.zeros(256, bool)
@@ -60,9 +60,7 @@ def features(data: np.ndarray, offs: np.ndarray, words: tx.Words):
     keep[last] = False
     first = np.concatenate([[0], np.cumsum(np.maximum(words.counts - 1, 0))])
     yield (pair[keep[:-1]] >> shift).astype(np.int32) if len(h) else h.astype(np.int32), first
-    for n in (1, 2, 3):
-        code, first = tx.grams(data, offs, n)
-        yield ((code * np.uint32(2654435761)) >> np.uint32(32 - BITS)).astype(np.int32), first
+    yield from tx.char_grams(data, offs, 3, BITS)
 
 
 def statistics(data: np.ndarray, offs: np.ndarray, words: tx.Words) -> list[np.ndarray]:
@@ -128,11 +126,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     if len(np.unique(y)) < 2:
         return RuleModel(weights, 50.0, a, b, reject_below)
     raw, offsets = tx.buffer(rows.column("codes"))
-    feature, first = raw.view(np.int32), offsets // 4
-    value = tx.buffer(rows.column("values"))[0].view(np.float32)
-    square = np.bincount(feature, value * value, dims) / len(y)
-    scale = 1 / (np.sqrt(square) + 1e-3) / 30
-    x = Sparse(feature, value * scale.astype(np.float32)[feature], first, dims)
+    feature, first = raw.view(np.int32).copy(), offsets // 4
+    value = tx.buffer(rows.column("values"))[0].view(np.float32).copy()
+    del rows, raw
+    pa.default_memory_pool().release_unused()
+    x, square = Sparse(feature, value, first, dims), np.zeros(dims)
+    for _, f, v, _ in x.slices():
+        square += np.bincount(f, v * v, dims)
+    scale = 1 / (np.sqrt(square / len(y)) + 1e-3) / 30
+    for _, f, v, _ in x.slices():
+        v *= scale.astype(np.float32)[f]
     apart = np.arange(len(y)) % 5 == 4
     if min(y[apart].sum(), (1 - y[apart]).sum()) < 3:
         apart[:] = False

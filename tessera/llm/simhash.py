@@ -14,11 +14,13 @@ bit of both). At most 65 fingerprints can meet at a key, so no group grows with
 
 Defined results: null and wordless texts have fingerprint zero, linked like any other; fewer words than a
 shingle count as one shingle; repeated rows share everything; a row with a null id takes the component of
-its fingerprint if another row has it, else null; an empty table gives an empty result.
+its fingerprint (`similar_texts`: of its set) if another row has it, else null; an empty table gives an empty
+result. For `similar_texts` rows that share an id are one document; shingles and sets are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
 from math import comb, inf
 
 import numpy as np
@@ -27,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import text as tx
+from tessera.llm.cells import extract, search, verified
 from tessera.llm.common import map_text, settle, sum_blocks
 from tessera.llm.components import components
 
 BITS = 64
+BROADCAST = 1 << 19
 
 
 def fingerprints(df: DataFrame, keep: list[str], text: str = "text", shingle: int = 3, prefix: str = "") -> DataFrame:
@@ -127,20 +131,19 @@ def plan(nodes: DataFrame, radius: int, sample: int = 2048) -> list[tuple[list[i
     n = max(2, nodes.count())
     share = int(min(1.0, sample / n) * (1 << 20))
     some = np.sort(nodes.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < share).select("fp").limit(4 * sample).toPandas()["fp"].to_numpy(np.int64)).view(np.uint64)
-    bits = np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
     corr, found = correlations(nodes), []
     for parts in range(2, radius + 3):
         groups = group_bits(corr, parts)
         cost = []
         for own in groups:
-            x, w = bits[:, own], len(own)
-            apart = x.sum(1)[:, None] + x.sum(1)[None] - 2 * (x @ x.T)
-            pairs = max(1, len(x) * (len(x) - 1))
+            w, code = len(own), extract(some, own)
+            within = np.cumsum(sum((np.bincount(np.bitwise_count(code[lo : lo + 256, None] ^ code).ravel(), minlength=BITS + 1) for lo in range(0, len(code), 256)), np.zeros(BITS + 1, int)))
+            pairs = max(1, len(code) * (len(code) - 1))
             row = [0.0]
             for t in range(radius + 1):
-                chance = sum(comb(w, i) for i in range(t + 1)) / 2**w
-                seen = max(0, int((apart <= t + 0.5).sum()) - len(x)) / pairs
-                row.append((chance + seen) / 2 * n * n / 2 + n * (1 + sum(comb(w, i) for i in range(t + 1))))
+                probes = sum(comb(w, i) for i in range(t + 1))
+                seen = max(0, int(within[t]) - len(code)) / pairs
+                row.append((probes / 2**w + seen) / 2 * n * n / 2 + n * (1 + probes))
             cost.append(row)
         total, thresholds = allot(cost, radius)
         found.append((total, [(g, t) for g, t in zip(groups, thresholds, strict=True) if t >= 0]))
@@ -190,3 +193,82 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     found = components(links(nodes, radius))
     rooted = nodes.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return rows.join(rooted, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def shingles(words: tx.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of each row's shingles in text order, and where each row's begin (rows + 1); fewer words than a shingle are one."""
+    h, n = words.hashes(), words.counts
+    k = np.minimum(n, size)
+    per_row = np.where(n > 0, n - k + 1, 0)
+    first = np.concatenate([[0], np.cumsum(per_row)])
+    row = np.repeat(np.arange(len(n)), per_row)
+    at = words.first[:-1][row] + np.arange(len(row)) - first[:-1][row]
+    key = tx.mix(k[row].astype(np.uint64))
+    for i in range(size):
+        inside = i < k[row]
+        key = np.where(inside, tx.mix(key * np.uint64(5) + h[np.where(inside, at + i, at)]), key)
+    return key, first
+
+
+def distinct(key: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's hashes once, ascending."""
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    order = np.lexsort((key, row))
+    key, row = key[order], row[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+    return key[new], np.searchsorted(row[new], np.arange(len(first)))
+
+
+def digests(key: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A number of each row's set; that of an empty one is always the same."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tx.mix(key ^ np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64)])
+    return tx.mix(total[first[1:]] - total[first[:-1]]).view(np.int64)
+
+
+def profiles(df: DataFrame, shingle: int, feature: int) -> DataFrame:
+    """(doc_id, key, n, fp): the number of each row's shingle set, its size, and a fingerprint over its runs of `feature` words."""
+
+    def batch(column: pa.Array) -> list[pa.Array]:
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
+        for _, _, data, offs in tx.chunks(column):
+            words = tx.Words(tx.lower(data), offs)
+            key, first = distinct(*shingles(words, shingle))
+            for kept, made in zip(out, (digests(key, first), np.diff(first), majority(*shingles(words, feature)).view(np.int64)), strict=True):
+                kept.append(made)
+        return [pa.array(np.concatenate(x)) for x in out]
+
+    return map_text(df, ["doc_id"], "text", [("key", "bigint"), ("n", "bigint"), ("fp", "bigint")], batch)
+
+
+def with_sets(df: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
+    """members (key, node, ...) with their whole shingle sets, taken from the texts of df whose id is node."""
+
+    def batch(column: pa.Array) -> list[pa.Array]:
+        keys, out = [np.zeros(0, np.int64)], []
+        for _, _, data, offs in tx.chunks(column):
+            key, first = distinct(*shingles(tx.Words(tx.lower(data), offs), shingle))
+            keys.append(digests(key, first))
+            out += [key[a:z].tobytes() for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        return [pa.array(np.concatenate(keys)), pa.array(out, pa.binary())]
+
+    few = F.broadcast if members.count() <= BROADCAST else lambda x: x
+    some = df.join(few(members.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
+    return map_text(some, [], "text", [("key", "bigint"), ("set", "binary")], batch).join(few(members), "key")
+
+
+def similar_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 10, feature: int = 2) -> DataFrame:
+    """(doc_id, component_id) of every row: component_id is the smallest id reachable over pairs of texts of at least the similarity (Jaccard, sets of shingles)."""
+    ratio = Fraction(str(similarity))
+    df = df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = settle(profiles(df, shingle, feature))
+    named = rows.where(F.col("doc_id").isNotNull())
+    nodes = settle(named.groupBy("key").agg(F.min(F.struct("doc_id", "n", "fp")).alias("own")).select("key", F.col("own.doc_id").alias("node"), "own.n", "own.fp"))
+    found = components(search(nodes, plan(nodes, radius), radius, ratio)).select(F.col("node").alias("key"), F.col("root").alias("cell"))
+    similar = verified(nodes.join(found, "key").select("key", "node", "n", "cell"), lambda members: with_sets(df, members, shingle), ratio)
+    ids = named.groupBy("doc_id").agg(F.min("key").alias("v"), F.max("key").alias("most")).where("v < most")
+    same = named.select("doc_id", F.col("key").alias("u")).join(ids, "doc_id").where("u <> v").select("u", "v")
+    joined = components(similar.unionByName(same))
+    rooted = nodes.select("key", "node").join(joined.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "node", F.coalesce("root", "key").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("node").alias("component_id"))
+    return rows.select("doc_id", "key").join(rooted.join(smallest, "root").select("key", "component_id"), "key", "left").select("doc_id", "component_id")

@@ -113,6 +113,39 @@ def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix((sums[ends] - sums[starts]) * _power("down", n + 1)[starts])
 
 
+def code_points(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes, and where each row's begin (rows + 1)."""
+    if not (data & 0x80).any():
+        return data.astype(np.uint32), offs
+    head = np.flatnonzero((data & 0xC0) != 0x80)
+    lead = data[head]
+    point = lead.astype(np.uint32)
+    for least, most, size in ((0xC0, 0xE0, 2), (0xE0, 0xF0, 3), (0xF0, 0xF8, 4)):
+        some = np.flatnonzero((lead >= least) & (lead < most))
+        value = point[some] & np.uint32(0x7F >> size)
+        for k in range(1, size):
+            value = (value << np.uint32(6)) | (data[head[some] + k] & 0x3F)
+        point[some] = value
+    return point, np.searchsorted(head, offs)
+
+
+def char_grams(data: np.ndarray, offs: np.ndarray, most: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order from 1 to `most` (3 at most): hashes of so many bits of all n-grams of code points within rows, and where each row's begin (rows + 1)."""
+    point, border = code_points(data, offs)
+    code, wide = point, point.astype(np.uint64)
+    keep = np.ones(len(point), bool)
+    rows = list(zip(border[:-1].tolist(), border[1:].tolist(), strict=True))
+    for n in range(1, most + 1):
+        code = point if n == 1 else (code[:-1].astype(np.uint64) << np.uint64(21)) | wide[n - 1 :]
+        for lo, hi in rows:  # grams that would reach over the row's end
+            keep[max(lo, hi - n + 1) : hi] = False
+        if n == 1:
+            found = code * np.uint32(2654435761) >> np.uint32(32 - bits)
+        else:
+            found = ((code ^ (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.int32)
+        yield found[keep[: len(found)]].astype(np.int32), np.concatenate([[0], np.cumsum(np.maximum(np.diff(border) - n + 1, 0))])
+
+
 def grams(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Codes (n bytes as one unsigned number, n <= 8) of all byte n-grams within rows, and their first position in each row (rows + 1)."""
     size = max(0, len(data) - n + 1)
