@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import jaccard, mixing, packing, quality_classifier, quality_rules
+from tessera.llm import mixing, packing, quality_classifier, quality_rules, simhash
 from tessera.llm.common import read, settle, shared_folder
 from tessera.llm.queries import tokenizer_files
 
@@ -34,7 +34,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows that share an id are one document; the first of them in order of their columns stays.
     """
-    found = jaccard.near_duplicates(docs)
+    found = simhash.similar_texts(docs)
     ids = settle(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows")))
     kept = docs.join(ids, "doc_id")
     once = kept.where("__rows = 1").select(*(f"`{c}`" for c in docs.columns))
