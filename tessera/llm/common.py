@@ -79,20 +79,22 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int, learnab
     return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(small), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
-def sum_blocks(parts: DataFrame, kind: type = np.int64) -> dict[int, np.ndarray]:
-    """Sums, by block number, of the arrays of the given kind that tasks have emitted as (block int, sums binary).
+def _wide(part: np.ndarray) -> np.ndarray:
+    return part.astype(np.int64)
+
+
+def sum_blocks(parts: DataFrame, kind: type = np.int64, widen: Callable[[np.ndarray], np.ndarray] = _wide) -> dict[int, np.ndarray]:
+    """Sums, by block number, of the arrays of whole numbers of the given kind that tasks have emitted as (block int, sums binary), each widened to 64 bits first.
 
     Blocks are dealt over the executors and added up as they stream in; the driver gets their sums only,
-    so what it holds is set by the number of blocks, not by the number of tasks.
+    so what it holds is set by the number of blocks, not by the number of tasks. Whole numbers add up alike in any order.
     """
 
-    wide = np.int64 if kind is np.int64 else np.float64
-
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for k, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                part = np.frombuffer(raw.as_buffer(), kind).astype(wide)
+                part = widen(np.frombuffer(raw.as_buffer(), kind))
                 sums[k] = sums[k] + part if k in sums else part
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["block", "sums"])
@@ -100,6 +102,6 @@ def sum_blocks(parts: DataFrame, kind: type = np.int64) -> dict[int, np.ndarray]
     rows = parts.repartition(F.col("block")).mapInArrow(add, "block int, sums binary").toArrow()
     out: dict[int, np.ndarray] = {}
     for k, raw in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-        part = np.frombuffer(raw, wide)
+        part = np.frombuffer(raw, np.int64)
         out[k] = out[k] + part if k in out else part
     return out

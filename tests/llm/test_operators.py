@@ -89,33 +89,73 @@ def test_lm_base_scores(spark, docs):
     assert held.score.sum() > held.base_score.sum()
 
 
-def test_lm_probabilities_sum_to_one(spark, docs):
+def plain_lm(text, count, v, w):
+    """log10 probability of a text, token by token in whole numbers; count: token hash to count."""
     import pyarrow as pa
 
     from tessera.llm import text as tx
 
-    some = spark.createDataFrame(docs[["doc_id", "text"]].head(100))
-    counts, v, w = lm_scoring.fit(some)
-    (chunk,) = tx.chunks(pa.array(["the of and"]))
-    z, which, _, y = lm_scoring.Batch(lm_scoring.Sequence.of(*chunk[2:]), v).logs(v, w, 0, 4)
-    assert np.exp(z).sum(1) == pytest.approx(1, abs=1e-4) and np.exp(y).sum(1) == pytest.approx(1, abs=1e-4)
+    L, bits, most = lm_scoring, (len(w) // 3).bit_length() - 1, (1 << 64) - 1
+    (chunk,) = tx.chunks(pa.array([text]))
+    h = [int(x) for x in L.Sequence.of(*chunk[2:]).hashes]
+    own = {int(x): int(k) for x, k in zip(v.hashes, v.own) if k >= 0}
+    total = 0.0
+    for i, x in enumerate(h):
+        b1, b2, b3 = (h[i - k] if i >= k else int(L.BOS) for k in (1, 2, 3))
+        odd = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+        features = [b1 * odd[0] & most, (b1 * 5 + b2) * odd[1] & most, b2 * odd[2] & most, b3 * odd[3] & most]
+        leaf = own.get(x, None)
+        shared = leaf is None
+        if shared:
+            leaf = int(L.shared_leaf(np.array([x], np.uint64))[0])
+        paths, steps = (0, leaf // 1024, leaf // 32), (leaf // 1024, leaf // 32 % 32, leaf % 32)
+        for level, seen in enumerate(L.LEVELS):
+            salt = (paths[level] + (level << 20 | 1)) * 0xFF51AFD7ED558CCD & most
+            rows = [((features[f] ^ salt) * 0xC4CEB9FE1A85EC53 & most) >> 64 - bits for f in seen]
+            z = v.priors[level][paths[level]].astype(float) + sum(w[(level << bits) + r].astype(float) for r in rows)
+            total += z[steps[level]] - np.log(np.exp(z).sum())
+        if shared:
+            n = count.get(x, 0)
+            total += np.log((n - L.DISCOUNT if n else v.unseen[leaf - L.OWN]) / v.mass[leaf - L.OWN])
+    return total / np.log(10)
+
+
+def test_lm_scores_against_a_plain_computation(spark, docs, monkeypatch):
+    some = docs[["doc_id", "text"]].head(160)
+    frame = spark.createDataFrame(some)
+    monkeypatch.setattr(lm_scoring, "FREQUENT", 1200)  # so that rarer words are joined
+    counts, v, w = lm_scoring.fit(frame.limit(120), bits=9)
+    assert len(v.hashes) <= 1200 and np.abs(w).max() > 0.1
+    count = {r.h % (1 << 64): r.n for r in counts.collect()}
+    r = lm_scoring.score(frame, counts, v, w, ["doc_id"]).toPandas().set_index("doc_id")
+    for i, t in zip(some.doc_id[::8], some.text[::8]):
+        assert r.score[i] == pytest.approx(plain_lm(t, count, v, w), rel=1e-4)
+
+
+def test_lm_probabilities_sum_to_one(spark, docs):
+    """All words of a shared leaf and the unseen ones together take at most what the leaf has; leaves add up to 1."""
+    L = lm_scoring
+    counts, v, _ = L.fit(spark.createDataFrame(docs[["doc_id", "text"]].head(100)), rounds=1, bits=8)
+    first, second, third = (np.exp(p.astype(float)) for p in v.priors)
+    leaves = (first.reshape(-1, 1, 1) * second.reshape(32, 32, 1) * third.reshape(32, 32, 32)).ravel()
+    assert leaves.sum() == pytest.approx(1, abs=1e-3)
     known = counts.toPandas()
-    rare = known[~known.h.isin(v.hashes[v.top >= 0].view(np.int64))]
-    for t in range(lm_scoring.TAILS):
-        own = rare[rare["tail"] == t]
-        share = ((own.n - lm_scoring.DISCOUNT).sum() + max(lm_scoring.DISCOUNT * len(own), 0.5)) / v.tail_mass[t]
-        assert share <= 1 + 1e-9
-
-
-def test_rare_words_join_like_frequent_ones(spark, docs, monkeypatch):
-    some = spark.createDataFrame(docs[["doc_id", "text"]].head(150))
-    whole = lm_scoring.fit(some)
-    a = lm_scoring.score(some, *whole, ["doc_id"]).toPandas().set_index("doc_id").sort_index()
-    monkeypatch.setattr(lm_scoring, "FREQUENT", 1200)
-    counts, v, _ = lm_scoring.fit(some, rounds=1)
-    assert len(v.hashes) <= 1200
-    b = lm_scoring.score(some, counts, v, whole[2], ["doc_id"]).toPandas().set_index("doc_id").sort_index()
-    assert (a.n_known == b.n_known).all() and np.allclose(a.base_score, b.base_score) and np.allclose(a.score, b.score, atol=1e-3)
+    h = known.h.to_numpy().view(np.uint64)
+    rest = ~np.isin(h, v.hashes[v.own >= 0])
+    taken = np.bincount(L.shared_leaf(h[rest]) - L.OWN, known.n[rest] - L.DISCOUNT, L.SHARED) + v.unseen
+    assert (taken <= v.mass + 1e-9).all()
+
+
+def test_lm_training_does_not_depend_on_the_order_of_sums(spark, docs):
+    some = spark.createDataFrame(docs[["doc_id", "text"]].head(60)).repartition(3, "doc_id")
+    a, b = (lm_scoring.fit(some, bits=8)[2] for _ in range(2))
+    assert np.array_equal(a, b)
+
+
+def test_lm_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", 5, 6, 7)], "doc_id bigint, text string, known int, base int, uid int")
+    (r,) = lm_scoring.score(df, *lm_scoring.fit(df, bits=8), ["doc_id", "known", "base", "uid"]).collect()
+    assert (r.known, r.base, r.uid, r.n_tokens) == (5, 6, 7, 3)
 
 
 def plain_fingerprint(text):
