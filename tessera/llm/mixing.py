@@ -3,8 +3,9 @@
 Targets: sources share all tokens by weight; a source whose share exceeds `most` times its own size is held
 there and the excess goes to the others by weight, found in closed form over the sorted ratios size / weight.
 Quotas: the tokens are dealt out in equal blocks to the highest quotients target / (2 j - 1), so each source
-gets a whole number of blocks; its shards of about `shard_rows` documents get theirs by the same divisor.
-Selection: a shard's documents stand in an order drawn by seed and form one line of blocks; whole passes over
+gets a whole number of blocks; its shards of about `shard_rows` documents get theirs out of these by highest quotients too, so
+shard quotas add up to the source's, but for a shard of which every block is already taken `most` times.
+Selection: a shard's documents stand in an order drawn by seed, id and text and form one line of blocks; whole passes over
 the line come first, then one run of blocks from a seeded start. What a document gives is arithmetic on its
 place in the line, so no block is ever a row and no window spans more than a shard.
 
@@ -44,35 +45,53 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     return held.withColumn("target", F.when(F.col("held"), F.col("cap").cast("double")).otherwise(F.least(level * F.col("weight"), F.col("cap").cast("double")))).select("source", "source_size", "rows", "target")
 
 
+def divide(parts: DataFrame, keys: list[str], part: str, weight: str, seats: str) -> DataFrame:
+    """parts with `won`: each group's `seats` (the same in all its rows) dealt to its parts by the highest quotients weight / (2 seat - 1), ties by part.
+
+    No part's seats are further from its exact share than by `slack`, as raising or lowering the divisor for the seats that
+    rounding leaves over moves a part by no more; only the seats inside that margin are ordered. Parts without weight get none.
+    """
+    group = W.partitionBy(*keys)
+    total, count = F.sum(weight).over(group), F.sum(F.when(F.col(weight) > 0, 1).otherwise(0)).over(group)
+    share = parts.where(F.col(weight) > 0).withColumn("__share", F.col(weight) / total).withColumn("__near", F.floor(F.col(seats) * F.col("__share") + 0.5)).withColumn("__count", count)
+    off = F.abs(F.col(seats) - F.sum("__near").over(group))
+    share = share.withColumn("__slack", F.ceil((off + F.col("__count")) * F.col("__share")) + 1).withColumn("__sure", F.greatest(F.lit(0), F.col("__near") - F.col("__slack")))
+    share = share.withColumn("__open", F.col(seats) - F.sum("__sure").over(group))
+    each = share.withColumn("__seat", F.explode(F.sequence(F.col("__sure") + 1, F.col("__near") + F.col("__slack"))))
+    line = W.partitionBy(*keys).orderBy((F.col(weight) / (2 * F.col("__seat") - 1)).desc(), F.col(part).asc_nulls_last(), "__seat")
+    dealt = each.withColumn("__place", F.row_number().over(line)).groupBy(*keys, part).agg((F.min("__sure") + F.count(F.when(F.col("__place") <= F.col("__open"), 1))).alias("won"))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*keys, part)]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    return parts.alias("a").join(dealt.alias("b"), on, "left").select("a.*", F.coalesce("b.won", F.lit(0)).cast("bigint").alias("won"))
+
+
 def apportion(shares: DataFrame, block: int) -> DataFrame:
     """shares (source, target, ...) with `seats`: blocks by highest quotients, in all the whole number nearest to the sum of the targets over the block."""
-    everything = W.partitionBy()
-    near = shares.withColumn("near", F.floor(F.col("target") / block + 0.5))
-    near = near.withColumn("all", F.floor(F.sum("target").over(everything) / block + 0.5)).withColumn("off", F.abs(F.col("all") - F.sum("near").over(everything)))
-    slack = F.ceil(F.col("off") * F.col("target") / F.greatest(F.sum("target").over(everything), F.lit(1.0))) + 2
-    near = near.withColumn("slack", slack).withColumn("sure", F.greatest(F.lit(0), F.col("near") - F.col("slack")))
-    near = near.withColumn("open", F.col("all") - F.sum("sure").over(everything))
-    seats = near.where("target > 0").select("source", "target", "open", F.explode(F.sequence(F.col("sure") + 1, F.col("near") + F.col("slack"))).alias("seat"))
-    won = seats.withColumn("place", F.row_number().over(W.orderBy((F.col("target") / (2 * F.col("seat") - 1)).desc(), F.col("source").asc_nulls_last(), "seat"))).where("place <= open").groupBy("source").agg(F.count("*").alias("won"))
-    same = near.alias("a").join(won.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left")
-    return same.select("a.source", "source_size", "rows", "a.target", (F.when(F.col("a.target") > 0, F.col("sure")).otherwise(0) + F.coalesce("won", F.lit(0))).alias("seats"))
-
-
-def mix(df: DataFrame, keep: list[str], doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block: int = 16, shard_rows: int = 256, seed: int = 1, prefix: str = "") -> DataFrame:
+    whole = shares.withColumn("__one", F.lit(0)).withColumn("__all", F.floor(F.sum("target").over(W.partitionBy("__one")) / block + 0.5))
+    return divide(whole, ["__one"], "source", "target", "__all").withColumnRenamed("won", "seats").drop("__one", "__all")
+
+
+def mix(df: DataFrame, keep: list[str], doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block: int = 16, shard_rows: int = 256, fan: int = 1024, seed: int = 1, prefix: str = "") -> DataFrame:
     """df's columns `keep` and OUTPUTS, their names led by the prefix: taken = passes * size + (to1 - from1) + (to2 - from2), the latter being word ranges of the document."""
-    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in keep if c not in [prefix + n for n in OUTPUTS]), F.lit(0).alias("__none")).alias("row"), F.col(source).cast("string").alias("source"), F.col(doc_id).alias("id"), F.xxhash64(F.lit(seed), F.col(doc_id)).alias("draw"), word_count(F.col(text)).alias("size"))
+    draw = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text).cast("string"))
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in keep if c not in [prefix + n for n in OUTPUTS]), F.lit(0).alias("__none")).alias("row"), F.col(source).cast("string").alias("source"), F.col(doc_id).alias("id"), draw.alias("draw"), word_count(F.col(text)).alias("size"))
     rows = settle(rows)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     quotas = settle(apportion(targets(sizes, weights, most), block))
     quotas = quotas.select(F.col("source").alias("s"), "source_size", "target", "seats", F.greatest(F.lit(1), F.ceil(F.col("rows") / shard_rows)).alias("shards"))
-    placed = rows.join(F.broadcast(quotas) if quotas.count() <= 10_000 else quotas, F.col("source").eqNullSafe(F.col("s")))
-    shard = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "draw"), F.col("shards")))
+    placed = rows.join(F.broadcast(quotas) if quotas.count() <= 10_000 else quotas, F.col("source").eqNullSafe(F.col("s"))).drop("source")
+    # A source's seats go to rows of about `fan` shards first and then to their shards, so neither step orders many rows in one place.
+    shard = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "draw"), F.col("shards"))).withColumn("bunch", F.floor(F.col("shard") / fan))
+    longs = settle(shard.groupBy("s", "bunch", "shard").agg(F.sum("size").alias("long"), F.first("seats").alias("seats")))
+    bunches = divide(longs.groupBy("s", "bunch").agg(F.sum("long").alias("long"), F.first("seats").alias("seats")), ["s"], "bunch", "long", "seats")
+    bunches = bunches.select(F.col("s").alias("s2"), F.col("bunch").alias("b2"), F.col("won").alias("seats"))
+    within = longs.drop("seats").join(bunches, F.col("s").eqNullSafe(F.col("s2")) & (F.col("bunch") == F.col("b2"))).drop("s2", "b2")
+    dealt = divide(within, ["s", "bunch"], "shard", "long", "seats").select(F.col("s").alias("s3"), F.col("shard").alias("d3"), "long", "won")
     order = W.partitionBy("s", "shard").orderBy("draw", F.col("id").asc_nulls_first(), "size")
-    whole = W.partitionBy("s", "shard")
-    line = shard.withColumn("begin", F.coalesce(F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("long", F.sum("size").over(whole))
-    line = line.withColumn("blocks", F.ceil(F.col("long") / block))
-    share = F.col("seats") * F.col("long") / F.greatest(F.col("source_size"), F.lit(1))
-    line = line.withColumn("quota", F.least(most * F.col("blocks"), F.floor(share + 0.5)))
+    line = shard.join(dealt, F.col("s").eqNullSafe(F.col("s3")) & (F.col("shard") == F.col("d3"))).withColumn("begin", F.coalesce(F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    line = line.withColumn("blocks", F.ceil(F.col("long") / block)).withColumn("quota", F.least(most * F.col("blocks"), F.col("won"))).withColumn("source", F.col("s"))
     line = line.withColumn("passes", F.when(F.col("blocks") > 0, F.floor(F.col("quota") / F.col("blocks"))).otherwise(0)).withColumn("rest", F.col("quota") - F.col("passes") * F.col("blocks"))
     line = line.withColumn("first", F.pmod(F.xxhash64(F.lit(seed + 2), "s", "shard"), F.greatest(F.col("blocks"), F.lit(1))) * block)
     end = F.col("first") + F.col("rest") * block

@@ -8,7 +8,8 @@ gives a boundary record on both sides; only the last window can be short.
 
 Token ids are those of the `tokenizers` file, with no special tokens put in; a text that spells an added token gets its id. Texts made up of Latin letters and
 common punctuation without an added token are encoded by the equal rank vocabulary, which is four times as fast; any other text goes
-to `tokenizers` itself, as the two libraries may class rarer characters by different Unicode tables.
+to `tokenizers` itself, as the two libraries may class rarer characters by different Unicode tables; so does a text on
+whose long runs of white space the faster one gives up.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed once each; an empty
 table gives an empty result. A carried column named like an output gives way to it.
@@ -53,7 +54,16 @@ def encoder(tokenizer_file: str, ranks_file: str | None, pattern: str | None):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     quick = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     added = [t.content for t in exact().get_added_tokens_decoder().values()]
-    return lambda text: slow(text) if RARE.search(text) or any(t in text for t in added) else quick.encode_to_numpy(text, disallowed_special=()).astype(np.uint32)
+
+    def either(text: str) -> np.ndarray:
+        if RARE.search(text) or any(t in text for t in added):
+            return slow(text)
+        try:
+            return quick.encode_to_numpy(text, disallowed_special=()).astype(np.uint32)
+        except ValueError:  # its pattern gives up on very long runs of white space
+            return slow(text)
+
+    return either
 
 
 def tokenise(df: DataFrame, keep: list[str], tokenizer_file: str, ranks_file: str | None = None, pattern: str | None = None, end_id: int = 1, text: str = "text") -> DataFrame:

@@ -266,7 +266,6 @@ def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_files()["tokenizer_file"])
-    t.encode_special_tokens = True
     r = packing.pack(read(spark, SF, "documents"), ["doc_id"], **tokenizer_files()).toPandas().sort_values(["doc_id", "start"])
     some = docs[docs.doc_id % 10 == 0]
     for i, text in zip(some.doc_id, some.text):
@@ -336,6 +335,28 @@ def test_trust_reaches_hosts_over_eight_links_away(spark):
 def test_added_tokens_are_encoded_as_the_tokenizer_does():
     from tokenizers import Tokenizer
 
-    text = "see <|endoftext|> here"
-    want = Tokenizer.from_file(tokenizer_files()["tokenizer_file"]).encode(text, add_special_tokens=False).ids
-    assert packing.encoder(*tokenizer_files().values())(text).tolist() == want
+    t, encode = Tokenizer.from_file(tokenizer_files()["tokenizer_file"]), packing.encoder(*tokenizer_files().values())
+    for text in ("see <|endoftext|> here", "a" + " " * 1_000_000 + "b", "\n" * 1_200_000, "a" + " \t" * 600_000):
+        assert encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_shard_quotas_add_up_by_highest_quotients(spark):
+    """Many small shards whose shares round alike: their seats sum to the source's, and are those of a plain highest-quotient count."""
+    rng = np.random.default_rng(11)
+    rows = [("a", i // 8, i, int(n), 90) for i, n in enumerate(rng.integers(0, 40, 64))] + [(None, 0, i, 7, 10) for i in range(24)]
+    r = mixing.divide(spark.createDataFrame(rows, "s string, bunch long, shard long, long long, seats long"), ["s"], "shard", "long", "seats").toPandas()
+    for name, house in (("a", 90), (None, 10)):
+        own = [(x[2], x[3]) for x in rows if x[0] == name]
+        seats = Counter()
+        for _ in range(house):
+            seats[max(own, key=lambda s: (s[1] / (2 * seats[s[0]] + 1), -s[0]))[0]] += 1
+        got = r[r.s.isna()] if name is None else r[r.s == name]
+        assert dict(zip(got.shard, got.won)) == {k: seats[k] for k, _ in own}
+
+
+def test_mix_of_a_source_far_over_its_target(spark):
+    """A hot source of short documents, and rows without an id, which are spread over shards by their texts."""
+    docs = [(i, " ".join(["w"] * (1 + i % 3)), "hot") for i in range(20_000)] + [(10_000 + i, "x y z " * 40, "b") for i in range(30)] + [(None, f"n{i} " * 20, "c") for i in range(300)]
+    r = mixing.mix(spark.createDataFrame(docs, "doc_id bigint, text string, source string"), ["source"], fan=16).toPandas()
+    by = r.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
+    assert ((by.taken - by.target).abs() < 0.02 * by.target + 32).all() and (r.taken <= 3 * r["size"]).all()
