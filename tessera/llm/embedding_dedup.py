@@ -14,7 +14,8 @@ vectors, spread evenly over tiles.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component have no links and are
 components of their own, as is any row with a null id (whose component is null); vectors of different length are
-never linked; rows with the same id are one vertex; an empty table gives an empty result.
+never linked; rows equal in id and vector are one vector, and rows of one id with unlike vectors are vectors of their own
+with links of their own that share a component; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -110,12 +111,19 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     sound = F.coalesce(vec.isNotNull() & (F.size(vec) > 0) & ~F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(vec, lambda x: x != 0), F.lit(False))
     rows = df.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.when(sound, vec).alias("vec"))
     rows = settle(rows.withColumn("key", F.when(F.col("vec").isNotNull() & F.col("vec_id").isNotNull(), F.xxhash64("vec"))))
-    nodes = settle(rows.where("key is not null").groupBy("key", "vec").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")))
+    nodes = rows.where("key is not null").groupBy("key", "vec").agg(F.min("vec_id").alias("least"), F.count_distinct("vec_id").alias("copies"))
+    nodes = settle(nodes.withColumn("node", F.monotonically_increasing_id()))
+    placed = rows.where("key is not null").alias("r").join(nodes.alias("n"), (F.col("r.key") == F.col("n.key")) & (F.col("r.vec") == F.col("n.vec")))
+    placed = settle(placed.select("vec_id", "node"))
     found = settle(links(nodes.select("node", "copies", "vec"), threshold, strip_rows))
+    ids = placed.groupBy("vec_id").agg(F.min("node").alias("v"), F.max("node").alias("most")).where("v < most")
+    same = placed.join(ids, "vec_id").select(F.col("node").alias("u"), "v")
+    roots = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(same))
     counts = found.groupBy("node").agg(F.sum("linked").alias("linked"))
-    roots = components(found.select(F.col("node").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "member")
-    judged = nodes.join(counts, "node", "left").join(roots, F.col("node") == F.col("member"), "left")
-    judged = judged.select(F.col("key").alias("k"), F.col("vec").alias("v"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
-    out = rows.join(judged, (F.col("key") == F.col("k")) & (F.col("vec") == F.col("v")), "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    judged = nodes.select("node", "least", "copies").join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = judged.groupBy("root").agg(F.min("least").alias("component_id"))
+    judged = judged.join(smallest, "root").select("node", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    sound = placed.join(judged, "node").select("vec_id", "n_links", "component_id")
+    of_id = sound.groupBy("vec_id").agg(F.min("component_id").alias("component_id"))
+    rest = rows.where("key is null").select("vec_id").join(of_id, "vec_id", "left").select("vec_id", F.lit(0).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return sound.unionByName(rest).select("vec_id", F.col("n_links").cast("bigint").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))

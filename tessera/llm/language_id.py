@@ -5,8 +5,9 @@ is the cosine of the sets of n-grams present, hashed to `GRAMS` columns. Nystroe
 drawn evenly from the languages; one-versus-rest kernel ridge regression runs in the landmark space. Scoring
 builds a batch's presence matrix and multiplies it with the landmarks and then the class weights.
 
-Bounds: `per_lang` training documents and `landmarks_per_lang` landmarks of each language, drawn by hash of
-the id; at most `max_langs` languages, the most frequent ones, are learned.
+Every language of the training rows is learned. Bounds of the sample it is learned from: `per_lang` documents and
+`landmarks_per_lang` landmarks of each language, drawn by hash of id and text; with many languages fewer of each, about
+`documents` and `landmarks` in all, but at least 8 documents and one landmark.
 
 Defined results: a null text or one without any letter is `und` with score 0; repeated rows get the same
 answer; an empty table gives an empty result; with nothing to learn from every text is `und`.
@@ -68,14 +69,17 @@ class LanguageModel:
         return np.concatenate(best), np.concatenate(score)
 
 
-def train(docs: DataFrame, learnable, lang: str = "lang", per_lang: int = 800, landmarks_per_lang: int = 32, max_langs: int = 100, ridge: float = 1e-3) -> LanguageModel | None:
+def train(docs: DataFrame, learnable, lang: str = "lang", per_lang: int = 800, landmarks_per_lang: int = 32, documents: int = 32_000, landmarks: int = 1024, ridge: float = 1e-3) -> LanguageModel | None:
     known = docs.where(learnable & F.col(lang).isNotNull() & F.col("text").isNotNull()).select(F.xxhash64("doc_id", F.col("text").cast("string")).alias("draw"), F.col(lang).cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    sizes = sorted(known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect(), key=lambda r: r["lang"])
+    counted = known.groupBy("lang").count()
+    sizes = sorted(counted.collect(), key=lambda r: r["lang"])
     if not sizes:
         return None
+    per_lang = max(8, min(per_lang, documents // len(sizes)))
+    landmarks_per_lang = max(1, min(landmarks_per_lang, landmarks // len(sizes)))
     # Shares leave a margin above per_lang so that every language fills its quota; the surplus goes below.
-    shares = F.create_map(*(x for r in sizes for x in (F.lit(r["lang"]), F.lit(int(min(1.0, 1.25 * per_lang / r["count"]) * (1 << 20))))))
-    drawn = known.where(F.pmod("draw", F.lit(1 << 20)) < F.coalesce(shares[F.col("lang")], F.lit(0)))
+    shares = counted.select(F.col("lang").alias("of"), F.least(F.lit(1.0), 1.25 * per_lang / F.col("count")).alias("share"))
+    drawn = known.join(F.broadcast(shares), F.col("lang") == F.col("of")).where(F.pmod("draw", F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("draw", "lang", "text")
     kernels = map_text(drawn, ["draw", "lang"], "text", [("x", "binary")], lambda c: [pa.array([np.packbits(r > 0).tobytes() for x in presence(c) for r in x], pa.binary())])
     rows = kernels.dropDuplicates(["draw"]).toArrow().sort_by([("lang", "ascending"), ("draw", "ascending")])
     tags, raw = np.array(rows.column("lang").to_pylist()), rows.column("x").to_pylist()
@@ -87,10 +91,10 @@ def train(docs: DataFrame, learnable, lang: str = "lang", per_lang: int = 800, l
         x = np.unpackbits(np.array([np.frombuffer(raw[i], np.uint8) for i in which]).reshape(-1, GRAMS // 8), axis=1).astype(np.float32)
         return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
 
-    landmarks = matrix(keep[marks]).T.copy()
-    values, vectors = np.linalg.eigh((landmarks.T @ landmarks).astype(float))
+    columns = matrix(keep[marks]).T.copy()
+    values, vectors = np.linalg.eigh((columns.T @ columns).astype(float))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))
-    phi = np.concatenate([matrix(keep[i : i + 512]) @ landmarks for i in range(0, len(keep), 512)]).astype(float) @ root
+    phi = np.concatenate([matrix(keep[i : i + 512]) @ columns for i in range(0, len(keep), 512)]).astype(float) @ root
     y = np.where(tags[keep][:, None] == np.array(langs)[None], 1.0, -1.0)
     weight = 1 / np.array([(tags[keep] == t).sum() for t in tags[keep]])
     weight = weight / weight.sum()
@@ -105,7 +109,7 @@ def train(docs: DataFrame, learnable, lang: str = "lang", per_lang: int = 800, l
         q = z / t
         return float(np.mean(np.log(np.exp(q - q.max(1, keepdims=True)).sum(1)) + q.max(1) - q[np.arange(len(q)), right]))
 
-    return LanguageModel(langs, landmarks, (root @ beta).astype(np.float32), (target - mean @ beta).astype(np.float32), float(min(grid, key=loss)))
+    return LanguageModel(langs, columns, (root @ beta).astype(np.float32), (target - mean @ beta).astype(np.float32), float(min(grid, key=loss)))
 
 
 def identify(df: DataFrame, model: LanguageModel | None, keep: list[str], text: str = "text", prefix: str = "") -> DataFrame:

@@ -97,7 +97,7 @@ def test_rules(spark, folders):
 def test_embeddings(spark, folders):
     r = got(spark, folders, "op7_embedding_dedup")
     one = r.drop_duplicates().set_index("vec_id")
-    assert len(r) == 13 and one.n_links[0] == 3 and one.n_links[1] == 3 and one.n_links[8] == 3
+    assert len(r) == 13 and one.n_links[0] == 2 and one.n_links[1] == 2 and one.n_links[8] == 2
     assert (one.component_id[[0, 1, 8]] == 0).all() and not one.kept[8] and one.kept[0]
     for alone in (2, 3, 4, 5, 6, 7, 9, 10):
         assert one.n_links[alone] == 0 and one.component_id[alone] == alone and one.kept[alone]

@@ -323,13 +323,66 @@ def test_rule_model_without_both_classes(spark):
     assert quality_rules.apply_rules(docs, model, ["doc_id"]).where(F.col("kept") == F.col("base_failed")).count() == 0
 
 
-def test_trust_reaches_hosts_over_eight_links_away(spark):
-    seeds = spark.createDataFrame([("allow", "h0", 1.0)], "kind string, host string, mass double")
-    edges = spark.createDataFrame([("allow", f"h{i}", f"h{i + 1}", 1.0) for i in range(11)], "kind string, src string, dst string, part double")
-    trust = {r.host: r.trust for r in url_filter.propagate(seeds, edges).collect()}
-    assert [trust[f"h{i}"] for i in range(12)] == pytest.approx([0.15 * 0.85**i for i in range(12)])
+def plain_rank(seeds, edges, damping=0.85):
+    """Personalised PageRank by a dense solve; what hosts without links hold returns to the seeds."""
+    hosts = sorted({*seeds, *(x for e in edges for x in e)})
+    at, n = {h: i for i, h in enumerate(hosts)}, len(hosts)
+    p, s = np.zeros((n, n)), np.zeros(n)
+    for h, m in seeds.items():
+        s[at[h]] = m
+    for (a, b), k in edges.items():
+        p[at[a], at[b]] += k
+    out = p.sum(1)
+    p[out > 0] /= out[out > 0, None]
+    p[out == 0] = s / s.sum()
+    rank = np.linalg.solve(np.eye(n) - damping * p.T, (1 - damping) * s)
+    return dict(zip(hosts, rank))
+
+
+def test_trust_is_personalised_pagerank(spark):
+    rng = np.random.default_rng(6)
+    edges = Counter((f"h{a}", f"h{b}") for a, b in rng.integers(0, 25, (60, 2)) if a != b)
+    seeds = {"h0": 0.5, "h1": 0.25, "h30": 0.25}
+    out = Counter()
+    for (a, _), k in edges.items():
+        out[a] += k
+    rows = [("allow", a, b, k / out[a]) for (a, b), k in edges.items()]
+    got = url_filter.propagate(spark.createDataFrame([("allow", h, m) for h, m in seeds.items()], "kind string, host string, mass double"), spark.createDataFrame(rows, "kind string, src string, dst string, part double"), tolerance=1e-9).toPandas().set_index("host").trust
+    want = plain_rank(seeds, edges)
+    for h, m in want.items():
+        assert got.get(h, 0.0) == pytest.approx(m, abs=1e-7)
     with pytest.raises(RuntimeError):
-        url_filter.propagate(seeds, edges, rounds=3)
+        url_filter.propagate(spark.createDataFrame([("allow", "h0", 1.0)], "kind string, host string, mass double"), spark.createDataFrame([("allow", f"h{i}", f"h{i + 1}", 1.0) for i in range(11)], "kind string, src string, dst string, part double"), rounds=3)
+
+
+def test_many_rules_as_few_and_clashing_columns(spark, monkeypatch):
+    pages = [(i, f"http://{h}/{p}", None, 7, 8) for i, (h, p) in enumerate([("A.b.org", "x/1"), ("b.org", "x"), ("ab.org", "x"), ("c.b.org", "y/z"), ("org", ""), ("q.com", "de/"), ("", "x")])] + [(50, None, None, 7, 8)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string, h int, kept int")
+    rules = [("allow", "org/"), ("block", "b.org/x"), ("allow", "a.b.org/x/"), ("block", "com/de/"), ("block", "c.b.org/y/z")]
+    few = url_filter.judge(df, rules, ["page_id", "h", "kept"]).toPandas().sort_values("page_id").reset_index(drop=True)
+    assert few.columns[:3].tolist() == ["page_id", "h", "kept"] and (few.h == 7).all() and (few.kept == 8).all()
+    assert few.rule.where(few.rule.notna(), None).tolist() == ["a.b.org/x/", "b.org/x", "org/", "c.b.org/y/z", "org/", "com/de/", None, None]
+    monkeypatch.setattr(url_filter, "CHAIN", 0)
+    many = url_filter.judge(df, rules, ["page_id", "h", "kept"]).toPandas().sort_values("page_id").reset_index(drop=True)
+    pd.testing.assert_frame_equal(few, many)
+
+
+def test_every_language_is_learned(spark):
+    """More languages than fill the sample: rare ones are told apart as well as frequent ones."""
+    rng = np.random.default_rng(9)
+    letters = [list(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6, replace=False)) for _ in range(130)]
+    rows = [(i, " ".join("".join(rng.choice(letters[i % 130], 5)) for _ in range(60)), f"l{i % 130:03d}") for i in range(130 * 10)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.train(df, F.col("doc_id") < 130 * 8, documents=400, landmarks=260)
+    assert len(model.langs) == 130
+    r = language_id.identify(df.where(F.col("doc_id") >= 130 * 8), model, ["doc_id", "lang"]).toPandas()
+    assert (r.lang == r.lang_pred).mean() > 0.9
+
+
+def test_vectors_of_one_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (3, [0.01, 1.0]), (4, [-1.0, 0.0]), (4, None)]
+    r = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).toPandas()
+    assert sorted(zip(r.vec_id, r.n_links, r.component_id)) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (3, 1, 1), (4, 0, 4), (4, 0, 4)]
 
 
 def test_added_tokens_are_encoded_as_the_tokenizer_does():
