@@ -80,18 +80,19 @@ def mix(df: DataFrame, keep: list[str], doc_id: str = "doc_id", source: str = "s
     rows = settle(rows)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     quotas = settle(apportion(targets(sizes, weights, most), block))
-    quotas = quotas.select(F.col("source").alias("s"), "source_size", "target", "seats", F.greatest(F.lit(1), F.ceil(F.col("rows") / shard_rows)).alias("shards"))
-    placed = rows.join(F.broadcast(quotas) if quotas.count() <= 10_000 else quotas, F.col("source").eqNullSafe(F.col("s"))).drop("source")
+    # Sources go by number from here on, as a join and a window on a column without nulls share one shuffle.
+    quotas = quotas.select(F.col("source").alias("name"), F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())).alias("s"), "source_size", "target", "seats", F.greatest(F.lit(1), F.ceil(F.col("rows") / shard_rows)).alias("shards"))
+    placed = rows.join(F.broadcast(quotas) if quotas.count() <= 10_000 else quotas, F.col("source").eqNullSafe(F.col("name"))).drop("name")
     # A source's seats go to rows of about `fan` shards first and then to their shards, so neither step orders many rows in one place.
     shard = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "draw"), F.col("shards"))).withColumn("bunch", F.floor(F.col("shard") / fan))
     longs = settle(shard.groupBy("s", "bunch", "shard").agg(F.sum("size").alias("long"), F.first("seats").alias("seats")))
     bunches = divide(longs.groupBy("s", "bunch").agg(F.sum("long").alias("long"), F.first("seats").alias("seats")), ["s"], "bunch", "long", "seats")
     bunches = bunches.select(F.col("s").alias("s2"), F.col("bunch").alias("b2"), F.col("won").alias("seats"))
-    within = longs.drop("seats").join(bunches, F.col("s").eqNullSafe(F.col("s2")) & (F.col("bunch") == F.col("b2"))).drop("s2", "b2")
+    within = longs.drop("seats").join(bunches, (F.col("s") == F.col("s2")) & (F.col("bunch") == F.col("b2"))).drop("s2", "b2")
     dealt = divide(within, ["s", "bunch"], "shard", "long", "seats").select(F.col("s").alias("s3"), F.col("shard").alias("d3"), "long", "won")
     order = W.partitionBy("s", "shard").orderBy("draw", F.col("id").asc_nulls_first(), "size")
-    line = shard.join(dealt, F.col("s").eqNullSafe(F.col("s3")) & (F.col("shard") == F.col("d3"))).withColumn("begin", F.coalesce(F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    line = line.withColumn("blocks", F.ceil(F.col("long") / block)).withColumn("quota", F.least(most * F.col("blocks"), F.col("won"))).withColumn("source", F.col("s"))
+    line = shard.join(dealt, (F.col("s") == F.col("s3")) & (F.col("shard") == F.col("d3"))).withColumn("begin", F.coalesce(F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    line = line.withColumn("blocks", F.ceil(F.col("long") / block)).withColumn("quota", F.least(most * F.col("blocks"), F.col("won")))
     line = line.withColumn("passes", F.when(F.col("blocks") > 0, F.floor(F.col("quota") / F.col("blocks"))).otherwise(0)).withColumn("rest", F.col("quota") - F.col("passes") * F.col("blocks"))
     line = line.withColumn("first", F.pmod(F.xxhash64(F.lit(seed + 2), "s", "shard"), F.greatest(F.col("blocks"), F.lit(1))) * block)
     end = F.col("first") + F.col("rest") * block
