@@ -44,4 +44,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from tessera.plans import optimisation, relational, scalar, surface, tpch  # noqa: E402, F401
+from tessera.plans import optimisation, relational, scalar, surface, texts, tpch  # noqa: E402, F401

@@ -226,7 +226,7 @@ def any_all(spark, sf_dir):
     return p.drop("p_size")
 
 
-@query("SELECT * FROM (PIVOT (SELECT l_returnflag, l_linestatus, l_quantity FROM lineitem) ON l_linestatus USING sum(l_quantity) AS q, count(*) AS n GROUP BY l_returnflag)")
+@query("SELECT l_returnflag, sum(l_quantity) FILTER (l_linestatus = 'F') AS F_q, count(*) FILTER (l_linestatus = 'F') AS F_n, sum(l_quantity) FILTER (l_linestatus = 'O') AS O_q, count(*) FILTER (l_linestatus = 'O') AS O_n FROM lineitem GROUP BY l_returnflag")
 def pivot(spark, sf_dir):
     return shape.pivot(table(spark, sf_dir, "lineitem"), "l_linestatus", {"q": F.sum("l_quantity"), "n": F.count(F.lit(1))}, ["l_returnflag"])
 

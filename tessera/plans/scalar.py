@@ -15,17 +15,14 @@ from tessera.functions import numbers as N
 from tessera.functions import text as T
 
 
-def pack(name: str, source: str, key: str, columns: dict[str, tuple[Callable[[], Column] | str, str]], where: str = "true") -> None:
-    """Registers a query of the key and the named columns, each given as a function that makes the Column (or as Spark SQL) and as DuckDB SQL; if `where` is given, also one over the whole table."""
+def pack(name: str, source: str, key: str, columns: dict[str, tuple[Callable[[], Column] | str, str]]) -> None:
+    """Registers a query of the key and the named columns, each given as a function that makes the Column (or as Spark SQL) and as DuckDB SQL."""
 
     def run(spark, sf_dir):
-        df = table(spark, sf_dir, source).where(where)
-        return df.select(key, *((F.expr(c) if isinstance(c, str) else c()).alias(n) for n, (c, _) in columns.items()))
+        return table(spark, sf_dir, source).select(key, *((F.expr(c) if isinstance(c, str) else c()).alias(n) for n, (c, _) in columns.items()))
 
     run.__name__ = name
-    query(f"SELECT {key}, {', '.join(f'{sql} AS {n}' for n, (_, sql) in columns.items())} FROM {source} WHERE {where}")(run)
-    if where != "true":
-        pack(f"{name}_whole", source, key, columns)
+    query(f"SELECT {key}, {', '.join(f'{sql} AS {n}' for n, (_, sql) in columns.items())} FROM {source}")(run)
 
 
 def text(l: Column) -> Column:
@@ -53,12 +50,11 @@ pack("string_paths", "pages", "page_id", {"fn": (lambda: T.parse_filename(F.col(
 x = lambda: F.col("l_extendedprice")
 q = lambda: F.col("l_quantity")
 d = lambda: F.col("l_discount")
-LI = "l_orderkey < 2000"
-pack("math_rounding", "lineitem", "l_orderkey", {"c": ("cast(ceil(l_discount * 10) as double)", "ceil(l_discount * 10)"), "f": ("cast(floor(l_extendedprice / 7) as double)", "floor(l_extendedprice / 7)"), "r": s("round(l_extendedprice, -2)"), "r1": s("round(l_quantity / 4, 1)"), "t": (lambda: N.trunc(-x() / 3), "trunc(-l_extendedprice / 3)"), "e": (lambda: N.even(q() / 3), "even(l_quantity / 3)"), "sg": ("cast(signum(l_quantity - 25) as int)", "sign(l_quantity - 25)::INT"), "ab": s("abs(l_quantity - 25)")}, LI)
-pack("math_functions", "lineitem", "l_orderkey", {"sq": ("round(sqrt(l_extendedprice), 6)", "round(sqrt(l_extendedprice), 6)"), "cb": s("round(cbrt(l_extendedprice), 6)"), "ex": s("round(exp(l_discount), 9)"), "ln": s("round(ln(l_quantity), 9)"), "lg": ("round(log10(l_quantity), 9)", "round(log(l_quantity), 9)"), "l2": s("round(log2(l_quantity), 9)"), "pw": s("round(pow(l_quantity, 1.5), 6)"), "fd": (lambda: N.fdiv(x(), q() + 0.5), "fdiv(l_extendedprice, l_quantity + 0.5)"), "fm": (lambda: F.round(N.fmod(x(), F.lit(7.5)), 6), "round(fmod(l_extendedprice, 7.5), 6)")}, LI)
-pack("math_trigonometry", "lineitem", "l_orderkey", {k: s(f"round({k}(l_discount), 9)") for k in ("sin", "cos", "tan", "asin", "acos", "atan", "sinh", "cosh", "tanh", "asinh", "degrees", "radians")} | {"cot": s("round(cot(l_quantity), 7)"), "at2": s("round(atan2(l_discount, l_tax + 1), 9)"), "acosh": s("round(acosh(l_quantity), 9)"), "atanh": s("round(atanh(l_discount), 9)")}, LI)
+pack("math_rounding", "lineitem", "l_orderkey", {"c": ("cast(ceil(l_discount * 10) as double)", "ceil(l_discount * 10)"), "f": ("cast(floor(l_extendedprice / 7) as double)", "floor(l_extendedprice / 7)"), "r": s("round(l_extendedprice, -2)"), "r1": s("round(l_quantity / 4, 1)"), "t": (lambda: N.trunc(-x() / 3), "trunc(-l_extendedprice / 3)"), "e": (lambda: N.even(q() / 3), "even(l_quantity / 3)"), "sg": ("cast(signum(l_quantity - 25) as int)", "sign(l_quantity - 25)::INT"), "ab": s("abs(l_quantity - 25)")})
+pack("math_functions", "lineitem", "l_orderkey", {"sq": ("round(sqrt(l_extendedprice), 6)", "round(sqrt(l_extendedprice), 6)"), "cb": s("round(cbrt(l_extendedprice), 6)"), "ex": s("round(exp(l_discount), 9)"), "ln": s("round(ln(l_quantity), 9)"), "lg": ("round(log10(l_quantity), 9)", "round(log(l_quantity), 9)"), "l2": s("round(log2(l_quantity), 9)"), "pw": s("round(pow(l_quantity, 1.5), 6)"), "fd": (lambda: N.fdiv(x(), q() + 0.5), "fdiv(l_extendedprice, l_quantity + 0.5)"), "fm": (lambda: F.round(N.fmod(x(), F.lit(7.5)), 6), "round(fmod(l_extendedprice, 7.5), 6)")})
+pack("math_trigonometry", "lineitem", "l_orderkey", {k: s(f"round({k}(l_discount), 9)") for k in ("sin", "cos", "tan", "asin", "acos", "atan", "sinh", "cosh", "tanh", "asinh", "degrees", "radians")} | {"cot": s("round(cot(l_quantity), 7)"), "at2": s("round(atan2(l_discount, l_tax + 1), 9)"), "acosh": s("round(acosh(l_quantity), 9)"), "atanh": s("round(atanh(l_discount), 9)")})
 k = lambda: F.col("o_orderkey")
-pack("math_integers", "orders", "o_orderkey", {"dv": (lambda: N.divide(F.col("o_custkey"), k() % 3), "o_custkey / (o_orderkey % 3)"), "id": (lambda: N.integer_divide(F.col("o_custkey"), k() % 7 + 1), "o_custkey // (o_orderkey % 7 + 1)"), "md": s("o_custkey % 7"), "an": s("o_custkey & 12"), "orr": ("o_custkey | 12", "o_custkey | 12"), "xr": ("o_custkey ^ 12", "xor(o_custkey, 12)"), "nt": s("~o_custkey"), "sl": ("shiftleft(o_custkey, 2)", "o_custkey << 2"), "sr": ("shiftright(o_custkey, 2)", "o_custkey >> 2"), "bc": ("cast(bit_count(o_custkey) as int)", "bit_count(o_custkey)::INT"), "g": (lambda: N.gcd(F.col("o_custkey"), k()), "gcd(o_custkey, o_orderkey)::BIGINT"), "lc": (lambda: N.lcm(F.col("o_custkey"), F.lit(12)), "lcm(o_custkey, 12)::BIGINT"), "fa": (lambda: N.factorial((k() % 18).cast("int")).cast("bigint"), "factorial((o_orderkey % 18)::INT)::BIGINT"), "gr": s("greatest(o_custkey, o_orderkey, nullif(o_custkey, 7))"), "le": s("least(o_custkey, o_orderkey)")}, "o_orderkey < 3000")
+pack("math_integers", "orders", "o_orderkey", {"dv": (lambda: N.divide(F.col("o_custkey"), k() % 3), "o_custkey / (o_orderkey % 3)"), "id": (lambda: N.integer_divide(F.col("o_custkey"), k() % 7 + 1), "o_custkey // (o_orderkey % 7 + 1)"), "md": s("o_custkey % 7"), "an": s("o_custkey & 12"), "orr": ("o_custkey | 12", "o_custkey | 12"), "xr": ("o_custkey ^ 12", "xor(o_custkey, 12)"), "nt": s("~o_custkey"), "sl": ("shiftleft(o_custkey, 2)", "o_custkey << 2"), "sr": ("shiftright(o_custkey, 2)", "o_custkey >> 2"), "bc": ("cast(bit_count(o_custkey) as int)", "bit_count(o_custkey)::INT"), "g": (lambda: N.gcd(F.col("o_custkey"), k()), "gcd(o_custkey, o_orderkey)::BIGINT"), "lc": (lambda: N.lcm(F.col("o_custkey"), F.lit(12)), "lcm(o_custkey, 12)::BIGINT"), "fa": (lambda: N.factorial((k() % 18).cast("int")).cast("bigint"), "factorial((o_orderkey % 18)::INT)::BIGINT"), "gr": s("greatest(o_custkey, o_orderkey, nullif(o_custkey, 7))"), "le": s("least(o_custkey, o_orderkey)")})
 
 ts = lambda: F.col("ts")
 day = lambda: F.col("o_orderdate")

@@ -5,8 +5,6 @@ from __future__ import annotations
 import re
 import tempfile
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -191,12 +189,12 @@ class Connection:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.store, self.macros = spark, Store(spark, folder), {}
         self.prepared: dict[str, str] = {}
+        from tessera import share_path
         from tessera.functions import text
 
+        share_path(spark)  # before functions are registered, as they carry the workers' path from then on
         for name in ("damerau_levenshtein", "jaro_similarity", "jaro_winkler_similarity", "strip_accents", "nfc_normalize", "length_grapheme", "gamma", "lgamma"):
             spark.udf.register(name, getattr(text, name))
-        for name, function in (("mad", _mad), ("entropy", _entropy)):
-            spark.udf.register(name, F.pandas_udf(function, T.DoubleType()))
 
     # Sources
 
@@ -698,13 +696,3 @@ def _literal(text: str):
             return float(text)
         except ValueError:
             return text
-
-
-def _mad(x: pd.Series) -> float:
-    x = x.dropna()
-    return float((x - x.median()).abs().median())
-
-
-def _entropy(x: pd.Series) -> float:
-    share = x.dropna().value_counts(normalize=True)
-    return float(-(share * np.log2(share)).sum()) if len(share) else 0.0

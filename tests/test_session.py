@@ -160,3 +160,20 @@ def test_relations(con):
     assert con.sql("SELECT * FROM part USING SAMPLE 10 ROWS").native.count() == 10
     assert con.sql("PIVOT (SELECT n_regionkey, n_nationkey % 2 AS odd FROM nation) ON odd USING count(*) GROUP BY n_regionkey").native.count() == 5
     assert con.sql("UNPIVOT (SELECT n_nationkey, n_regionkey, n_nationkey * 2 AS b FROM nation) ON n_regionkey, b INTO NAME k VALUE v").native.count() == 50
+
+
+def test_entropy_and_mad_beside_other_aggregates(spark):
+    import tessera
+
+    con = tessera.connect(spark).register("t", spark.createDataFrame([(1, "a"), (2, "a"), (4, "b"), (10, None), (None, "b")], "x int, y string"))
+    (r,) = con.sql("SELECT mad(x) AS m, entropy(y) AS e, count(*) AS n FROM t").fetchall()
+    assert r == (1.5, 1.0, 5)
+    (r,) = con.sql("SELECT mad(x) AS m, entropy(y) AS e FROM t WHERE x > 99").fetchall()
+    assert r == (None, 0.0)
+
+
+def test_glob_operator_and_bits(spark):
+    import tessera
+
+    con = tessera.connect(spark)
+    assert con.sql("SELECT 'abc' ~~~ 'a*' AS a, 'a.c' ~~~ 'a.?' AS b, 'abc' ~~~ '[b-d]bc' AS c, get_bit('0110', 1) AS d, set_bit('0110', 0, 1) AS e, bit_position('10', '0110') AS f, regexp_escape('a.b') AS g").fetchall() == [(True, True, False, 1, "1110", 3, "a\\.b")]
