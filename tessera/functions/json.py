@@ -96,3 +96,46 @@ def kind(s: pd.Series) -> pd.Series:
         return {dict: "OBJECT", list: "ARRAY", str: "VARCHAR", float: "DOUBLE", type(None): "NULL"}[type(v)]
 
     return s.map(lambda x: None if x is None else one(_json.loads(x)))
+
+
+def _merged(a, b):
+    """One structure that fits two values; "JSON" where none does."""
+    if a == b or b == "NULL":
+        return a
+    if a == "NULL":
+        return b
+    if isinstance(a, dict) and isinstance(b, dict):
+        return {k: _merged(a.get(k, "NULL"), b.get(k, "NULL")) for k in {**a, **b}}
+    if isinstance(a, list) and isinstance(b, list):
+        return [_merged(a[0], b[0])]
+    if isinstance(a, str) and isinstance(b, str) and {a, b} <= {"UBIGINT", "BIGINT", "HUGEINT", "DOUBLE"}:
+        return "DOUBLE" if "DOUBLE" in (a, b) else "HUGEINT"
+    return "JSON"
+
+
+def _structure(v):
+    if isinstance(v, dict):
+        return {k: _structure(x) for k, x in v.items()}
+    if isinstance(v, list):
+        out = "NULL"
+        for x in v:
+            out = _merged(out, _structure(x))
+        return [out]
+    if isinstance(v, bool):
+        return "BOOLEAN"
+    if isinstance(v, int):
+        return "UBIGINT" if 0 <= v < 1 << 64 else "BIGINT" if -(1 << 63) <= v < 0 else "DOUBLE"
+    return {str: "VARCHAR", float: "DOUBLE", type(None): "NULL"}[type(v)]
+
+
+def _written(s):
+    """A structure to print: an object without fields is JSON."""
+    if isinstance(s, dict):
+        return {k: _written(x) for k, x in s.items()} if s else "JSON"
+    return [_written(s[0])] if isinstance(s, list) else s
+
+
+@F.pandas_udf(T.StringType())
+def structure(s: pd.Series) -> pd.Series:
+    """json_structure: the types of a document's parts."""
+    return s.map(lambda x: None if x is None else _json.dumps(_written(_structure(_json.loads(x))), separators=(",", ":"), ensure_ascii=False))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 INF = float("inf")
 
@@ -71,3 +74,9 @@ def factorial(n: Column) -> Column:
 
 def equi_width_bins(low: float, high: float, bins: int) -> list[float]:
     return [low + (high - low) * i / bins for i in range(1, bins + 1)]
+
+
+@F.pandas_udf(T.DoubleType())
+def nextafter(x: pd.Series, toward: pd.Series) -> pd.Series:
+    """The double next to x on the way to another."""
+    return pd.Series(np.nextafter(x.astype("float64"), toward.astype("float64")))

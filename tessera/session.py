@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from tessera.decide import decide, diagnose, explain
 from tessera.operators import joins, rows, shape
 from tessera.plans import dialect
-from tessera.sources import files
+from tessera.sources import files, system
 from tessera.sources.tables import Store, summarize
 
 
@@ -150,25 +150,31 @@ class Relation:
     def explain(self) -> str:
         return self.native._jdf.queryExecution().explainString(self.con.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
+    def _plain(self) -> DataFrame:
+        """The rows with calendar intervals as text, which Python can't hold otherwise."""
+        if not any(isinstance(f.dataType, T.CalendarIntervalType) for f in self.native.schema):
+            return self.native
+        return self.native.select(*(F.col(f"`{f.name}`").cast("string").alias(f.name) if isinstance(f.dataType, T.CalendarIntervalType) else F.col(f"`{f.name}`") for f in self.native.schema))
+
     def df(self):
-        return self.native.toPandas()
+        return self._plain().toPandas()
 
     to_df = fetchdf = df
 
     def arrow(self):
-        return self.native.toArrow()
+        return self._plain().toArrow()
 
     def pl(self):
         import polars
 
-        return polars.from_arrow(self.native.toArrow())
+        return polars.from_arrow(self._plain().toArrow())
 
     def fetchall(self) -> list[tuple]:
-        return [tuple(r) for r in self.native.collect()]
+        return [tuple(r) for r in self._plain().collect()]
 
     def _stream(self):
         if self._rows is None:
-            self._rows = iter(self.native.toLocalIterator())
+            self._rows = iter(self._plain().toLocalIterator())
         return self._rows
 
     def fetchone(self) -> tuple | None:
@@ -182,19 +188,23 @@ class Relation:
         return {c: self.arrow().column(c).to_numpy(zero_copy_only=False) for c in self.columns}
 
     def fetch_record_batch(self):
-        return self.native.toArrow().to_reader()
+        return self._plain().toArrow().to_reader()
 
 
 class Connection:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.store, self.macros = spark, Store(spark, folder), {}
         self.prepared: dict[str, str] = {}
+        self.settings = {"threads": spark.sparkContext.defaultParallelism, "timezone": spark.conf.get("spark.sql.session.timeZone")}
+        self.variables: set[str] = set()
         from tessera import share_path
-        from tessera.functions import text
+        from tessera.functions import json, numbers, text
 
         share_path(spark)  # before functions are registered, as they carry the workers' path from then on
         for name in ("damerau_levenshtein", "jaro_similarity", "jaro_winkler_similarity", "strip_accents", "nfc_normalize", "length_grapheme", "gamma", "lgamma"):
             spark.udf.register(name, getattr(text, name))
+        for name, function in {"json_pretty": json.pretty, "json_structure": json.structure, "json_contains": json.contains, "json_merge_patch": json.merge_patch, "json_type": json.kind, "nextafter": numbers.nextafter}.items():
+            spark.udf.register(name, function)
 
     # Sources
 
@@ -265,7 +275,7 @@ class Connection:
 
     def cursor(self) -> Connection:
         twin = Connection(self.spark, self.store.folder)
-        twin.store, twin.macros, twin.prepared = self.store, self.macros, self.prepared
+        twin.store, twin.macros, twin.prepared, twin.settings, twin.variables = self.store, self.macros, self.prepared, self.settings, self.variables
         return twin
 
     def interrupt(self) -> None:
@@ -313,7 +323,7 @@ class Connection:
             return self._selected(out, selected)
         if re.search(r"(?i)\bCOLUMNS\s*\(", text):
             text = self._columns(text)
-        sql, step = dialect.rewrite(self._files(text))
+        sql, step = dialect.rewrite(self._files(self._known(text)))
         if step is None:
             return self.spark.sql(sql, args=parameters) if parameters else self.spark.sql(sql)
         p = step.parts
@@ -374,7 +384,13 @@ class Connection:
 
         def one(m: re.Match) -> str:
             name = f"__file{abs(hash(m[0])) % 10**9}"
-            if m["path"]:
+            if m["system"]:
+                df = system.listing(self, m["system"].lower())
+            elif m["standard"]:
+                df = system.standard(self, m["standard"].lower())
+            elif m["info"]:
+                df = system.table_info(self, m["info"])
+            elif m["path"]:
                 kind = m["path"].rsplit(".", 1)[-1].lower()
                 df = files.read_csv(self.spark, m["path"]) if kind in ("csv", "tsv") else files.read_json(self.spark, m["path"]) if kind in ("json", "ndjson", "jsonl") else files.read_parquet(self.spark, m["path"])
             else:
@@ -383,7 +399,36 @@ class Connection:
             df.createOrReplaceTempView(name)
             return f"{m['word']} {name}"
 
-        return re.sub(r"(?i)(?P<word>\b(?:FROM|JOIN))\s+(?:'(?P<path>[^']+)'|(?P<function>read_\w+|parquet_\w+|glob)\(\s*'(?P<argument>[^']+)'\s*(?:,(?P<options>[^)]*))?\))", one, text)
+        lists = rf"\w+_(?P<system>{'|'.join(system.LISTINGS)})\(\s*\)|information_schema\.(?P<standard>tables|columns|schemata)\b|pragma_table_info\(\s*'(?P<info>\w+)'\s*\)"
+        return re.sub(rf"(?i)(?P<word>\b(?:FROM|JOIN))\s+(?:'(?P<path>[^']+)'|{lists}|(?P<function>read_\w+|parquet_\w+|glob)\(\s*'(?P<argument>[^']+)'\s*(?:,(?P<options>[^)]*))?\))", one, text)
+
+    def _known(self, text: str) -> str:
+        """Settings, and casts and functions of the session's enums, as plain values."""
+
+        def setting(m: re.Match) -> str:
+            name = m[1].lower()
+            value = self.settings[name] if name in self.settings else self.spark.conf.get(m[1], None)
+            if value is None:
+                raise ValueError(f"no such setting: {m[1]}")
+            return str(value) if isinstance(value, int) else "'" + str(value).replace("'", "''") + "'"
+
+        text = re.sub(r"(?i)\bcurrent_setting\(\s*'([\w.]+)'\s*\)", setting, text)
+        for name, labels in self.store.types.items():
+            quoted = ["'" + x.replace("'", "''") + "'" for x in labels]
+            whole = f"[{', '.join(quoted)}]"
+            kind = rf"\s*::\s*{name}\s*"
+
+            def part(m: re.Match, quoted=quoted) -> str:
+                first, last = (None if x.upper() == "NULL" else quoted.index(x) for x in m.groups())
+                return f"[{', '.join(quoted[first or 0 : len(quoted) if last is None else last + 1])}]"
+
+            text = re.sub(rf"(?i)\benum_range_boundary\(\s*(NULL|'[^']*'){kind},\s*(NULL|'[^']*'){kind}\)", part, text)
+            for function, value in (("enum_range", whole), ("enum_first", quoted[0]), ("enum_last", quoted[-1])):
+                text = re.sub(rf"(?i)\b{function}\(\s*NULL{kind}\)", lambda _, value=value: value, text)
+            text = re.sub(rf"(?i)\benum_code\(([^()]*?){kind}\)", lambda m, whole=whole: f"(list_position({whole}, {m[1]}) - 1)", text)
+            text = re.sub(rf"(?i)(::\s*){name}\b", r"\1VARCHAR", text)
+            text = re.sub(rf"(?i)\b(CAST\([^()]*\sAS\s+){name}\s*\)", r"\1VARCHAR)", text)
+        return text
 
     def _columns(self, text: str) -> str:
         ts = dialect.tokens(text)
@@ -648,10 +693,11 @@ class Connection:
         m = re.match(r"(?is)^SET\s+(?:VARIABLE\s+)?([\w.]+)\s*(?:=|TO)\s*(.*)$", text)
         if re.match(r"(?i)^SET\s+VARIABLE", text):
             self.spark.sql(f"DECLARE OR REPLACE VARIABLE {m[1]} = {m[2]}")
+            self.variables.add(m[1])
         elif m[1].startswith("spark."):
             self.spark.conf.set(m[1], str(_literal(m[2])))
         elif m[1].lower() in ("threads", "memory_limit", "preserve_insertion_order", "enable_progress_bar"):
-            pass  # Spark's own resources are set when it starts
+            self.settings[m[1].lower()] = _literal(m[2])  # kept to be read; Spark's own resources are set when it starts
         else:
             raise ValueError(f"no such setting: {m[1]}")
 

@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 
 def read_csv(spark: SparkSession, path, header: bool | None = None, delim: str | None = None, quote: str = '"', escape: str = '"', nullstr: str = "", columns: dict[str, str] | None = None, skip: int = 0, filename: bool = False, union_by_name: bool = False, ignore_errors: bool = False, rejects: bool = False) -> DataFrame:
-    """CSV; what is not told is sniffed from the head of the first file. With rejects, faulty lines stand in __rejected."""
-    found = sniff_csv(spark, path) if header is None or delim is None else {}
+    """CSV; what is not told is sniffed from the head of the first file. With rejects, faulty lines stand in __rejected.
+
+    With skip, that many lines at each file's head go before it is read; quoted values hold no line breaks then.
+    """
+    found = sniff_csv(spark, path, skip=skip) if header is None or delim is None or skip else {}
     reader = spark.read.option("header", found.get("header", True) if header is None else header).option("sep", delim or found.get("delimiter", ",")).option("quote", quote).option("escape", escape).option("nullValue", nullstr).option("mode", "DROPMALFORMED" if ignore_errors else "PERMISSIVE" if rejects else "FAILFAST").option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]").option("preferDate", True)
-    if skip:
-        raise NotImplementedError("skip: cut the lines when the file is written, or read it as text")
+    if skip and filename:
+        raise NotImplementedError("skip and filename together")
     if columns:
         fields = ", ".join(f"`{k}` {v}" for k, v in columns.items())
         reader = reader.schema(fields + (", __rejected string" if rejects else ""))
@@ -22,13 +25,25 @@ def read_csv(spark: SparkSession, path, header: bool | None = None, delim: str |
             reader = reader.option("columnNameOfCorruptRecord", "__rejected")
     else:
         reader = reader.option("inferSchema", True)
+    if skip:
+        titled = found["header"] if header is None else header
+        lines = without_head(spark, path, skip + int(titled))._jdf
+        df = DataFrame(reader.option("header", False)._jreader.csv(getattr(lines, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())), spark)
+        return df if columns else df.toDF(*(next(csv.reader([found["first"]], delimiter=delim or found["delimiter"], quotechar=quote)) if titled else [f"column{i}" for i in range(len(df.columns))]))
     df = reader.csv(path)
     return df.withColumn("filename", F.col("_metadata.file_path")) if filename else df
 
 
-def sniff_csv(spark: SparkSession, path, lines: int = 50) -> dict:
+def without_head(spark: SparkSession, path, skip: int) -> DataFrame:
+    """Lines of files but the first ones of each. Row ids rise along a file's first block, and only that block is searched."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    starts = lines.where("block = 0").groupBy("file").agg(F.min("id").alias("start"))
+    return lines.join(starts, "file").where(f"block > 0 or id >= start + {int(skip)}").select("value")
+
+
+def sniff_csv(spark: SparkSession, path, lines: int = 50, skip: int = 0) -> dict:
     """Delimiter, quote and header of a CSV file, from its first lines."""
-    head = [r[0] for r in spark.read.text(path if isinstance(path, str) else path[0]).limit(lines).collect()]
+    head = [r[0] for r in spark.read.text(path if isinstance(path, str) else path[0]).limit(lines + skip).collect()][skip:]
     sample = "\n".join(head)
     try:
         dialect = csv.Sniffer().sniff(sample, delimiters=",;\t|")
@@ -45,7 +60,7 @@ def sniff_csv(spark: SparkSession, path, lines: int = 50) -> dict:
             return False
 
     header = bool(rows) and not any(numeric(x) for x in rows[0]) and (len(rows) == 1 or len(set(rows[0])) == len(rows[0]) and any(numeric(x) for x in rows[1]) or all(x.replace("_", "").isalnum() for x in rows[0]))
-    return {"delimiter": delimiter, "quote": quote, "header": header, "columns": rows[0] if header and rows else [f"column{i}" for i in range(len(rows[0]) if rows else 0)]}
+    return {"delimiter": delimiter, "quote": quote, "header": header, "first": head[0] if head else "", "columns": rows[0] if header and rows else [f"column{i}" for i in range(len(rows[0]) if rows else 0)]}
 
 
 def read_parquet(spark: SparkSession, path, filename: bool = False, union_by_name: bool = False) -> DataFrame:

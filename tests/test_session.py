@@ -177,3 +177,60 @@ def test_glob_operator_and_bits(spark):
 
     con = tessera.connect(spark)
     assert con.sql("SELECT 'abc' ~~~ 'a*' AS a, 'a.c' ~~~ 'a.?' AS b, 'abc' ~~~ '[b-d]bc' AS c, get_bit('0110', 1) AS d, set_bit('0110', 0, 1) AS e, bit_position('10', '0110') AS f, regexp_escape('a.b') AS g").fetchall() == [(True, True, False, 1, "1110", 3, "a\\.b")]
+
+
+def test_lists_of_the_session(spark, tmp_path):
+    con = tessera.connect(spark, str(tmp_path))
+    con.sql("CREATE TYPE mood AS ENUM ('sad', 'ok', 'happy')")
+    con.sql("CREATE SEQUENCE counter START 5 INCREMENT BY 2")
+    con.sql("CREATE TABLE pets (id INTEGER PRIMARY KEY, name VARCHAR DEFAULT 'x' NOT NULL, feels mood)")
+    con.sql("SET VARIABLE chosen = 5")
+    con.sql("SET threads = 3")
+    assert con.sql("FROM pragma_table_info('pets')").fetchall() == [(0, "id", "INTEGER", True, None, True), (1, "name", "VARCHAR", True, "'x'", False), (2, "feels", "VARCHAR", False, None, False)]
+    assert ("main", "pets", "BASE TABLE") in con.sql("FROM information_schema.tables").fetchall()
+    assert con.sql("SELECT column_name FROM information_schema.columns WHERE table_name = 'pets' AND is_nullable = 'NO'").fetchall() == [("id",), ("name",)]
+    assert con.sql("SELECT constraint_type FROM my_constraints() WHERE table_name = 'pets'").fetchall() == [("PRIMARY KEY",), ("NOT NULL",), ("CHECK",)]
+    assert con.sql("SELECT column_count FROM my_tables()").fetchall() == [(3,)]
+    assert con.sql("FROM my_sequences()").fetchall() == [("counter", 5, 2)]
+    assert con.sql("SELECT type_name, labels FROM my_types()").fetchall() == [("mood", ["sad", "ok", "happy"])]
+    assert con.sql("SELECT getvariable('chosen'), current_setting('threads')").fetchall() == [(5, 3)]
+    assert con.sql("SELECT value FROM my_settings() WHERE name = 'threads'").fetchall() == [("3",)]
+    assert con.sql("SELECT count(*) > 100 FROM my_functions()").fetchall() == [(True,)]
+    with pytest.raises(ValueError):
+        con.sql("SELECT current_setting('no_such')")
+    with pytest.raises(ValueError):
+        con.sql("FROM pragma_table_info('no_such')")
+
+
+def test_enum_functions(spark, tmp_path):
+    con = tessera.connect(spark, str(tmp_path))
+    con.sql("CREATE TYPE mood AS ENUM ('sad', 'ok', 'happy')")
+    got = con.sql("SELECT enum_range(NULL::mood), enum_first(NULL::mood), enum_last(NULL::mood), enum_code('ok'::mood), enum_range_boundary('ok'::mood, NULL::mood), CAST('ok' AS mood)").fetchall()
+    assert got == [(["sad", "ok", "happy"], "sad", "happy", 1, ["ok", "happy"], "ok")]
+
+
+def test_intervals_are_fetched_as_text(con):
+    assert con.sql("SELECT age(TIMESTAMP '2001-04-10', TIMESTAMP '1957-06-13') AS a, to_years(2) AS y").fetchall() == [("43 years 9 months 27 days", "2 years")]
+    assert con.sql("SELECT age(TIMESTAMP '2001-04-10 01:00:00', TIMESTAMP '2001-06-13 02:00:00') AS a").fetchone() == ("-2 months -3 days -1 hours",)
+    assert con.sql("SELECT age(NULL::TIMESTAMP, TIMESTAMP '2001-06-13') AS a").fetchall() == [(None,)]
+
+
+def test_empty_and_null_lists(con):
+    got = con.sql("SELECT list_aggregate(l, 'sum') AS s, list_avg(l) AS a, list_median(l) AS m, list_mode(l) AS o, list_stddev_samp(l) AS d, list_any_value(l) AS v, list_count(l) AS c FROM (SELECT array_slice([1, 2], 2, 1) AS l UNION ALL SELECT NULL)").fetchall()
+    assert got[0] == (None, None, None, None, None, None, 0)
+    assert got[1][:6] == (None,) * 6
+    with pytest.raises(NotImplementedError):
+        con.sql("SELECT list_aggregate([1], 'no_such')")
+
+
+def test_csv_after_leading_lines(con, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.csv").write_text(f"made by hand\nin {i}\nid,name\n{2 * i},a\n{2 * i + 1},\"b,c\"\n")
+    got = con.sql(f"FROM read_csv('{tmp_path}/*.csv', skip=2)")
+    assert got.columns == ["id", "name"]
+    assert sorted(got.fetchall()) == [(i, "b,c" if i % 2 else "a") for i in range(6)]
+
+
+def test_ordered_ranking_needs_a_plain_window(con):
+    with pytest.raises(NotImplementedError):
+        con.sql("SELECT rank(ORDER BY n_name) OVER (ORDER BY n_nationkey) FROM nation")
