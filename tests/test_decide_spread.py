@@ -24,3 +24,9 @@ def test_absolute_values(stock):
     assert (out.x - out.q).abs().sum() == pytest.approx(np.abs(near - Q).sum() + near.sum() - 20 * len(Q) + 0.75)
     with pytest.raises(DecideError, match="INFEASIBLE"):
         far(stock, "DECIDE x(REAL) SUCH THAT x BETWEEN 5 AND 40 AND SUM(x) <= 100 MINIMIZE SUM(ABS(x - q))")
+
+
+def test_norms(stock):
+    out = far(stock, f"DECIDE x(REAL) SUCH THAT x BETWEEN 0 AND 30 AND SUM(x) >= {18 * len(Q)} MINIMIZE norm(x - 0.5 * q, 1)")
+    assert out.x.sum() >= 18 * len(Q) - 1e-6
+    assert (out.x - 0.5 * out.q).abs().sum() == pytest.approx(max(0, 18 * len(Q) - 0.5 * sum(Q)))
