@@ -30,3 +30,19 @@ def test_norms(stock):
     out = far(stock, f"DECIDE x(REAL) SUCH THAT x BETWEEN 0 AND 30 AND SUM(x) >= {18 * len(Q)} MINIMIZE norm(x - 0.5 * q, 1)")
     assert out.x.sum() >= 18 * len(Q) - 1e-6
     assert (out.x - 0.5 * out.q).abs().sum() == pytest.approx(max(0, 18 * len(Q) - 0.5 * sum(Q)))
+
+
+def test_coupled_squares(stock):
+    cap = round(sum(Q) / 2)
+    out = far(stock, f"DECIDE x(REAL) SUCH THAT x <= 30 AND SUM(x) <= {cap} MINIMIZE SUM(POWER(x - q, 2))")
+    assert out.x.sum() == pytest.approx(cap, abs=1e-6) and out.x.between(0, 30).all()
+    inside = out[(out.x > 0) & (out.x < 30)]
+    give = (inside.q - inside.x).to_numpy()
+    assert np.ptp(give) < 1e-9 and (out.q[out.x == 0] <= give[0] + 1e-9).all()
+
+
+def test_sums_of_many_rows_keep_their_places(spark):
+    from tessera.plans.optimisation import _sum
+
+    many = spark.range(4_000_000, numPartitions=1).selectExpr("12.7503592 + id % 50 / 7 as x").agg(_sum("x")).first()[0]
+    assert many == pytest.approx(4_000_000 * 12.7503592 + 80_000 * sum(range(50)) / 7, abs=2e-7)
