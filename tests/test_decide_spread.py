@@ -46,3 +46,9 @@ def test_sums_of_many_rows_keep_their_places(spark):
 
     many = spark.range(4_000_000, numPartitions=1).selectExpr("12.7503592 + id % 50 / 7 as x").agg(_sum("x")).first()[0]
     assert many == pytest.approx(4_000_000 * 12.7503592 + 80_000 * sum(range(50)) / 7, abs=2e-7)
+
+
+def test_quadratic_limit(stock):
+    most = round(sum(q * q for q in Q) / 2)
+    out = far(stock, f"DECIDE x(REAL) SUCH THAT x BETWEEN 0 AND 60 AND SUM(POWER(x, 2)) <= {most} MINIMIZE SUM(POWER(x - q, 2))")
+    assert (out.x / out.q).to_numpy() == pytest.approx(np.sqrt(most / sum(q * q for q in Q)))
