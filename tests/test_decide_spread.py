@@ -52,3 +52,12 @@ def test_quadratic_limit(stock):
     most = round(sum(q * q for q in Q) / 2)
     out = far(stock, f"DECIDE x(REAL) SUCH THAT x BETWEEN 0 AND 60 AND SUM(POWER(x, 2)) <= {most} MINIMIZE SUM(POWER(x - q, 2))")
     assert (out.x / out.q).to_numpy() == pytest.approx(np.sqrt(most / sum(q * q for q in Q)))
+
+
+def test_linear_allocation(stock):
+    cap = sum(Q) / 2 + 0.25
+    out = far(stock, f"DECIDE x(REAL) SUCH THAT x <= 1 AND SUM(x * q) <= {cap} MAXIMIZE SUM(x)")
+    best, left = 0.0, cap
+    for q in sorted(Q):
+        best, left = best + min(1.0, left / q), left - min(q, left)
+    assert (out.x * out.q).sum() <= cap + 1e-6 and out.x.sum() == pytest.approx(best)
