@@ -61,3 +61,13 @@ def test_linear_allocation(stock):
     for q in sorted(Q):
         best, left = best + min(1.0, left / q), left - min(q, left)
     assert (out.x * out.q).sum() <= cap + 1e-6 and out.x.sum() == pytest.approx(best)
+
+
+def test_selection_under_several_limits(stock):
+    text = f"DECIDE x(BOOL) SUCH THAT SUM(x * q) <= {0.3 * sum(Q)} AND SUM(x) <= 60 PER g AND SUM(x * q) <= {0.02 * sum(Q)} WHEN f MAXIMIZE SUM(x * id)"
+    out = far(stock, text)
+    assert (out.x * out.q).sum() <= 0.3 * sum(Q) and (out.x * out.q)[out.f].sum() <= 0.02 * sum(Q) and (out.groupby("g").x.sum() <= 60).all()
+    near = decide(stock, text).toPandas()
+    assert (out.x * out.id).sum() >= 0.99 * (near.x * near.id).sum()
+    with pytest.raises(DecideError, match="row budget"):
+        far(stock, "DECIDE x(BOOL) SUCH THAT SUM(x * q) <= 40 PER id MAXIMIZE SUM(x * id)")
