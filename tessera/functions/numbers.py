@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 INF = float("inf")
+INTEGERS = ("tinyint", "smallint", "int", "bigint")
 
 
 def divide(a: Column, b: Column) -> Column:
@@ -19,9 +20,11 @@ def divide(a: Column, b: Column) -> Column:
 
 
 def integer_divide(a: Column, b: Column) -> Column:
-    """a // b, truncating; null for b = 0."""
-    q = a / F.nullif(b, F.lit(0))
-    return F.when(q < 0, F.ceil(q)).otherwise(F.floor(q)).cast("bigint")
+    """a // b, truncating; null for b = 0. Integers are divided as such, as a double holds them up to 2^53 only."""
+    b = F.nullif(b, F.lit(0))
+    q = a / b
+    whole = F.typeof(a).isin(*INTEGERS) & F.typeof(b).isin(*INTEGERS)
+    return F.when(whole, F.call_function("div", a.cast("bigint"), b.cast("bigint"))).when(q < 0, F.ceil(q).cast("bigint")).otherwise(F.floor(q).cast("bigint"))
 
 
 def modulo(a: Column, b: Column) -> Column:
@@ -62,7 +65,7 @@ def gcd(a: Column, b: Column) -> Column:
 
 def lcm(a: Column, b: Column) -> Column:
     g = gcd(a, b)
-    return F.when(g == 0, F.lit(0)).otherwise((F.abs(a.cast("bigint")) / g).cast("bigint") * F.abs(b)).cast("bigint")
+    return F.when(g == 0, F.lit(0)).otherwise(F.call_function("div", F.abs(a.cast("bigint")), g) * F.abs(b)).cast("bigint")
 
 
 def factorial(n: Column) -> Column:
