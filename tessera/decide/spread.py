@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import itertools
 import pickle
+import re
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,6 +19,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,6 +81,9 @@ class Choices:
         self.low, self.high = ({v: side[b.columns[v]] for v in p.variables} for side in (b.m.low, b.m.high))
         if not all(np.isfinite(x).all() for x in (*self.low.values(), *self.high.values())):
             raise NotSeparable
+        for v in p.variables.values():
+            if v.kind != "REAL":
+                self.low[v.name], self.high[v.name] = np.ceil(self.low[v.name] - 1e-9), np.floor(self.high[v.name] + 1e-9)
         if any((self.low[v] > self.high[v] + 1e-9).any() for v in p.variables):
             raise DecideError("INFEASIBLE: use diagnose() to see why")
         trees = [n for c in p.constraints for x in (c.left, c.right) for n in x.walk()] + [*p.objective.body.walk()]
@@ -90,7 +95,7 @@ class Choices:
         for v in p.variables.values():
             points = [self.low[v.name], self.high[v.name], *roots[v.name]]
             if v.kind != "REAL":
-                points = [np.clip(f(x), np.ceil(self.low[v.name]), np.floor(self.high[v.name])) for x in points for f in (np.floor, np.ceil)]
+                points = [np.clip(f(x), self.low[v.name], self.high[v.name]) for x in points for f in (np.floor, np.ceil)]
             table = np.sort(np.stack(points), axis=0)
             values[v.name] = table[np.concatenate([[True], (np.diff(table, axis=0) > 1e-9).any(1)])]
         if np.prod([len(x) for x in values.values()]) > MOST_POINTS:
@@ -284,7 +289,14 @@ def added(rows: DataFrame, work: Callable[[pa.RecordBatch], np.ndarray]) -> np.n
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(total)], pa.binary())], names=["sums"])
 
-    parts = [pickle.loads(x) for x in rows.mapInArrow(run, "sums binary").toArrow().column(0).to_pylist()]
+    try:
+        parts = [pickle.loads(x) for x in rows.mapInArrow(run, "sums binary").toArrow().column(0).to_pylist()]
+    except PythonException as failed:
+        if "NotSeparable" in str(failed):
+            raise NotSeparable from failed
+        if said := re.search(r"DecideError: (.*)", str(failed)):
+            raise DecideError(said[1]) from failed
+        raise
     return np.sum(parts, axis=0) if parts else None
 
 

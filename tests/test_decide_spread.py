@@ -71,3 +71,13 @@ def test_selection_under_several_limits(stock):
     assert (out.x * out.id).sum() >= 0.99 * (near.x * near.id).sum()
     with pytest.raises(DecideError, match="row budget"):
         far(stock, "DECIDE x(BOOL) SUCH THAT SUM(x * q) <= 40 PER id MAXIMIZE SUM(x * id)")
+
+
+def test_rows_without_a_point(spark):
+    rows = spark.range(500, numPartitions=3).selectExpr("id", "if(id = 400, 4.5, 9.5) as q")
+    with pytest.raises(DecideError, match="INFEASIBLE"):
+        far(rows, "DECIDE x(REAL) SUCH THAT x BETWEEN 5 AND q AND SUM(x) <= 3000 MINIMIZE SUM(ABS(x - q))")
+    with pytest.raises(DecideError, match="INFEASIBLE"):
+        far(rows, "DECIDE x(INT) SUCH THAT x BETWEEN 4.2 AND q AND x >= 4.2 AND SUM(x) <= 3000 MINIMIZE SUM(ABS(x - q))")
+    out = far(rows, "DECIDE x(INT) SUCH THAT x BETWEEN 3.2 AND q AND SUM(x) <= 3000 MINIMIZE SUM(ABS(x - q))")
+    assert out.x.between(4, 9).all() and out.x.sum() == 3000 and out.x[400] == 4
