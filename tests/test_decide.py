@@ -263,3 +263,11 @@ def test_knapsacks_by_weight(spark):
     for _, v, w in rows:
         best[w:] = np.maximum(best[w:], best[:-w] + v)
     assert sum(r.x * r.w for r in out) <= 777 and sum(r.x * r.v for r in out) == best[-1]
+
+
+def test_choices_under_large_limits_stay_choices(spark):
+    rows = spark.range(4000, numPartitions=3).selectExpr("id", "1e8 * (1 + pmod(id * 7919, 4001) / 100) as price", "id % 5 as g", "id % 2 = 0 as f")
+    total = 1e8 * sum(1 + i * 7919 % 4001 / 100 for i in range(4000))
+    out = decide(rows, f"DECIDE x(BOOL) SUCH THAT SUM(x * price) <= {0.3 * total} AND SUM(x) <= 200 PER g AND SUM(x * price) <= {0.04 * total} WHEN f MAXIMIZE SUM(x * id)").toPandas()
+    assert set(out.x) <= {0, 1} and (out.groupby("g").x.sum() <= 200).all()
+    assert (out.x * out.price).sum() <= 0.3 * total and (out.x * out.price)[out.f].sum() <= 0.04 * total
