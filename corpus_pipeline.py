@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before it kept; all but the last return
 the columns of documents. Models are fitted on the whole documents table and its labels, as a stage's own input
-may hold too few rejected documents to learn from.
+may hold too few rejected documents to learn from. Every stage calls spare(), which also holds while its rows are written.
 """
 
 from __future__ import annotations
@@ -16,15 +16,30 @@ from tessera.llm import mixing, packing, quality_classifier, quality_rules, simh
 from tessera.llm.common import read, settle, shared_folder
 from tessera.llm.queries import tokenizer_files
 
+#: Bytes of a row group that is written and rows of a batch that is read. A task holds a row group of what it reads and one of what
+#: it writes, whole, and a batch of texts; at the usual 128 MB and 4,096 rows eight tasks need over 1 GB.
+SPARE = {"parquet.block.size": 4 << 20, "spark.sql.parquet.columnarReaderBatchSize": 512}
+
+
+def spare(spark: SparkSession) -> dict[str, str | None]:
+    """Lowers the session's Parquet settings to SPARE where they are larger or unset; returns what they were."""
+    before = {k: spark.conf.get(k, None) for k in SPARE}
+    for k, most in SPARE.items():
+        if not (before[k] or "").isdigit() or int(before[k]) > most:
+            spark.conf.set(k, str(most))
+    return before
+
 
 def quality_rule_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or the n-gram model rejects go."""
+    spare(spark)
     model = quality_rules.train(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return quality_rules.apply_rules(docs, model, docs.columns, prefix="__rule_").where("__rule_kept").select(*(f"`{c}`" for c in docs.columns))
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network predicts to be of low quality go."""
+    spare(spark)
     model = quality_classifier.train(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), held_out=None)
     return quality_classifier.score(docs, model, docs.columns, prefix="__net_").where("__net_predicted = 1").select(*(f"`{c}`" for c in docs.columns))
 
@@ -34,6 +49,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows that share an id are one document; the first of them in order of their columns stays.
     """
+    spare(spark)
     found = simhash.similar_texts(docs)
     ids = settle(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows")))
     kept = docs.join(ids, "doc_id")
@@ -46,6 +62,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in the proportions 1, 2, 3, repeating; documents are repeated or cut as their source's quota asks."""
+    spare(spark)
     out = mixing.apply_mix(mixing.mix(docs, docs.columns, prefix="__mix_"), prefix="__mix_")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
@@ -54,6 +71,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens, with their ids."""
+    spare(spark)
     return packing.pack(docs, ["doc_id"], **tokenizer_files())
 
 
@@ -70,9 +88,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; each stage's rows are written as Parquet to the shared folder and read again by the next."""
+    """All stages over the documents table; each stage's rows are written as Parquet to the shared folder and read again by the next.
+
+    The session's own Parquet settings are put back at the end.
+    """
     docs, folder = read(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
-        docs = spark.read.parquet(f"{folder}/{i}-{name}")
+    before = spare(spark)
+    try:
+        for i, (name, stage) in enumerate(STAGES):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
+            docs = spark.read.parquet(f"{folder}/{i}-{name}")
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return docs

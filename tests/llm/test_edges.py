@@ -167,3 +167,32 @@ def test_rules_learn_from_4000_documents(spark, monkeypatch):
     monkeypatch.setattr(quality_rules, "labelled", labelled)
     quality_rules.train(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), None)
     assert asked == [4000]
+
+
+def test_stages_hold_little_of_a_file_at_once(spark, tmp_path, monkeypatch):
+    """Row groups are written small and batches read small, so eight tasks fit a heap of 1 GB; a whole run puts the session's settings back."""
+    import corpus_pipeline as c
+    import pyarrow.parquet as pq
+
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    many = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").coalesce(1)
+    c.quality_rule_stage(spark, many, folder).write.parquet(f"{tmp_path}/out")
+    groups = [f.row_group(i) for f in (pq.ParquetFile(p).metadata for p in tmp_path.glob("out/*.parquet")) for i in range(f.num_row_groups)]
+    assert len(groups) > 1 and max(sum(g.column(k).total_compressed_size for k in range(g.num_columns)) for g in groups) < 8 << 20
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 512
+
+    batch = "spark.sql.parquet.columnarReaderBatchSize"
+    monkeypatch.setattr(c, "STAGES", [("own", lambda spark, docs, _: (c.spare(spark), docs)[1])])
+    try:
+        for mine in ("100", "2000"):
+            spark.conf.set(batch, mine)
+            spark.conf.unset("parquet.block.size")
+            assert c.run(spark, folder).count() == docs.count()
+            assert spark.conf.get(batch) == mine and spark.conf.get("parquet.block.size", None) is None
+        spark.conf.set(batch, "100")
+        c.spare(spark)
+        assert spark.conf.get(batch) == "100"
+    finally:
+        spark.conf.unset(batch)
+        spark.conf.unset("parquet.block.size")
