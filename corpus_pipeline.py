@@ -16,16 +16,17 @@ from tessera.llm import mixing, packing, quality_classifier, quality_rules, simh
 from tessera.llm.common import read, settle, shared_folder
 from tessera.llm.queries import tokenizer_files
 
-#: Bytes of a row group that is written and rows of a batch that is read. A task holds a row group of what it reads and one of what
-#: it writes, whole, and a batch of texts; at the usual 128 MB and 4,096 rows eight tasks need over 1 GB.
-SPARE = {"parquet.block.size": 4 << 20, "spark.sql.parquet.columnarReaderBatchSize": 512}
+#: Bytes of a row group that is written, rows of a batch that is read, and rows and bytes of a batch that goes to Python. A task holds a row
+#: group of what it reads and one of what it writes, whole, a batch of texts, and up to three times a batch for Python, which is outside
+#: the heap and has the heap's size in all; at the usual 128 MB, 4,096 rows, 10,000 rows and 64 MB eight tasks need over 1 GB of either.
+SPARE = {"parquet.block.size": 4 << 20, "spark.sql.parquet.columnarReaderBatchSize": 512, "spark.sql.execution.arrow.maxRecordsPerBatch": 512, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def spare(spark: SparkSession) -> dict[str, str | None]:
-    """Lowers the session's Parquet settings to SPARE where they are larger or unset; returns what they were."""
+    """Lowers the session's Parquet and Arrow settings to SPARE where they are larger, unlimited, unset or no plain number; returns what they were."""
     before = {k: spark.conf.get(k, None) for k in SPARE}
     for k, most in SPARE.items():
-        if not (before[k] or "").isdigit() or int(before[k]) > most:
+        if not (before[k] or "").isdigit() or not 0 < int(before[k]) <= most:
             spark.conf.set(k, str(most))
     return before
 
@@ -90,7 +91,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table; each stage's rows are written as Parquet to the shared folder and read again by the next.
 
-    The session's own Parquet settings are put back at the end.
+    The session's own Parquet and Arrow settings are put back at the end.
     """
     docs, folder = read(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     before = spare(spark)

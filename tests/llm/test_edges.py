@@ -196,3 +196,32 @@ def test_stages_hold_little_of_a_file_at_once(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.unset(batch)
         spark.conf.unset("parquet.block.size")
+
+
+def test_stages_send_little_to_python_at_once(spark):
+    """Batches for Python lie outside the heap and have its size in all, so stages send few rows and bytes at once; limits of the session that are lower stay."""
+    import corpus_pipeline as c
+
+    rows, held = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    folder, before = "/root/testdata/sf0.01", {k: spark.conf.get(k, None) for k in c.SPARE}
+
+    def seen(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["rows", "held"])
+
+    def largest(texts):
+        return max(texts.mapInArrow(seen, "rows bigint, held bigint").collect())
+
+    try:
+        for given, kept in (("10000", "512"), ("0", "512"), ("-1", "512"), ("100", "100")):
+            spark.conf.set(rows, given)
+            spark.conf.unset(held)
+            docs = spark.read.parquet(f"{folder}/documents.parquet").coalesce(1)
+            c.quality_rule_stage(spark, docs, folder)
+            assert spark.conf.get(rows) == kept and largest(docs)[0] == int(kept)
+        assert largest(spark.range(0, 400, 1, 1).selectExpr("repeat('a', 100000) as text"))[1] < 8 << 20
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
